@@ -13,7 +13,9 @@ A class also joins the next band if a partner within the threshold could lie the
 
 Words shared by more than `hot` classes are set aside. A class keeps at least three quarters of its
 words without them, or else its hot words are joined too: no partner is capped.
-All candidates are verified on the full n-gram sets.
+Candidates whose bit sketches (one bit flipped for each n-gram) differ in more bits than the threshold allows are dropped:
+exactly so for unsampled sets, and by four standard deviations of the sampled difference for others.
+All the rest are verified on the full n-gram sets.
 
 Defined results: null or wordless texts and null ids pair with nothing; a text of fewer than n words is one gram;
 repeated rows and rows with an id already seen in the same class give no pair with themselves; other columns are ignored;
@@ -32,6 +34,7 @@ from pyspark.sql import functions as F
 from . import store, text
 
 PARTS = 32
+BITS = 8  # 64-bit words of the bit sketch
 _U = np.uint64
 
 
@@ -55,7 +58,7 @@ def bands(size: int, sample: int, threshold: float) -> list[int]:
     return [j, j + 1] if size / threshold > sample * 2**j else [j]
 
 
-def sketch(s: np.ndarray, j: int, sample: int) -> np.ndarray:
+def sketch(s: np.ndarray, j: int) -> np.ndarray:
     """The sketch's words for band j as join keys; words without an n-gram are left out."""
     rate = (1 << 64) >> j
     part = s[: np.searchsorted(s, _U(rate - 1), "right")]
@@ -69,19 +72,32 @@ def sketch(s: np.ndarray, j: int, sample: int) -> np.ndarray:
     return text.mix(word[full] + (full.astype(_U) * _U(64) + _U(j + 1)) * _U(0xC2B2AE3D27D4EB4F)).astype(np.int64)
 
 
+def bit_sketch(s: np.ndarray, j: int) -> np.ndarray:
+    """The parity of the n-grams in each of 64 * BITS places, over the same sample as sketch()."""
+    part = text.mix(s[: np.searchsorted(s, _U(((1 << 64) >> j) - 1), "right")] ^ _U(0x5851F42D4C957F2D))
+    odd = np.bincount((part >> _U(55)).astype(np.int64), minlength=64 * BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def _lists(parts: list[np.ndarray]) -> pa.ListArray:
+    at = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64)))
+
+
 def _signatures(n: int, threshold: float, sample: int):
     def run(batches):
         for b in batches:
             ids = b.column(0)
-            rows, cls, size, keys = [], [], [], []
+            rows, cls, size, keys, band, bits = [], [], [], [], [], []
             for k, s in _sets(b.column(1), n):
                 rows.append(k)
                 cls.append(class_of(s))
                 size.append(len(s))
-                keys.append(np.concatenate([sketch(s, j, sample) for j in bands(len(s), sample, threshold)]))
-            at = np.concatenate([[0], np.cumsum([len(x) for x in keys])]).astype(np.int32)
-            flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(rows, pa.int64())), pa.array(cls, pa.int64()), pa.array(size, pa.int32()), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))], ["doc_id", "cls", "size", "keys"])
+                js = bands(len(s), sample, threshold)
+                band.append(js[0])
+                keys.append(np.concatenate([sketch(s, j) for j in js]))
+                bits.append(np.concatenate([bit_sketch(s, j) for j in js]))
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(rows, pa.int64())), pa.array(cls, pa.int64()), pa.array(size, pa.int32()), pa.array(band, pa.int32()), _lists(keys), _lists(bits)], ["doc_id", "cls", "size", "band", "keys", "bits"])
 
     return run
 
@@ -148,6 +164,17 @@ def _meet(threshold: float, hot: int | None):
     return run
 
 
+def _alike(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
+    """The pairs whose bit sketches allow the threshold."""
+    side = lambda v: reps.select(F.col("cls").alias(v), *[F.col(c).alias(f"{c}_{v}") for c in ("size", "band", "bits")])
+    both = pairs.join(side("x"), "x").join(side("y"), "y").withColumn("at", F.greatest("band_x", "band_y"))
+    bit = lambda v, i: F.get(F.col(f"bits_{v}"), (F.col("at") - F.col(f"band_{v}")) * BITS + i)
+    apart = sum((F.bit_count(bit("x", i).bitwiseXOR(bit("y", i))) for i in range(BITS)), F.lit(0))
+    rate = F.pow(F.lit(0.5), F.col("at"))
+    most = (1 - threshold) / (1 + threshold) * (F.col("size_x") + F.col("size_y")) * rate
+    return both.filter(apart <= most + 4 * F.sqrt(most * (1 - rate)) + 1e-6).select("x", "y")
+
+
 def _verify(n: int, threshold: float):
     def run(pairs: pa.Table, sets: pa.Table) -> pa.Table:
         flat = sets.column("grams").combine_chunks()
@@ -196,14 +223,15 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 3, threshold: float = 0.5, samp
     spark = docs.sparkSession
     parts = store.partitions(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).filter("doc_id is not null and text is not null")
-    sig = store.materialise(rows.mapInArrow(_signatures(n, threshold, sample), "doc_id long, cls long, size int, keys array<long>"), "signatures")
+    sig = store.materialise(rows.mapInArrow(_signatures(n, threshold, sample), "doc_id long, cls long, size int, band int, keys array<long>, bits array<long>"), "signatures")
     members = sig.groupBy("cls", "size").agg(F.min("doc_id").alias("rep"))
-    reps = sig.groupBy("cls").agg(F.min(F.struct("doc_id", "size", "keys")).alias("r")).select("cls", F.col("r.size").alias("size"), F.col("r.keys").alias("keys"))
+    reps = store.materialise(sig.groupBy("cls").agg(F.min(F.struct("doc_id", "size", "band", "keys", "bits")).alias("r")).select("cls", "r.size", "r.band", "r.keys", "r.bits"), "classes")
     words = reps.select(F.explode("keys").alias("key"), "cls", "size").repartition(parts, "key").sortWithinPartitions("key")
     met = store.materialise(words.mapInArrow(_meet(threshold, hot), "x long, y long, size int"), "met")
     heavy = met.filter("size is not null").groupBy("y").count().filter(F.col("count") > PARTS // 4).select(F.col("y").alias("cls"))
     again = met.filter("size is not null").join(heavy.withColumnRenamed("cls", "y"), "y", "left_semi").select("x", "y", "size").repartition(parts, "x").sortWithinPartitions("x")
     pairs = store.materialise(met.filter("size is null").select("x", "y").unionByName(again.mapInArrow(_meet(threshold, None), "x long, y long, size int").select("x", "y")).distinct(), "candidates")
+    pairs = store.materialise(_alike(pairs, reps.select("cls", "size", "band", "bits"), threshold), "alike")
 
     # Pairs that share a small neighbour are verified in one place, so that a set travels about once, not once a pair.
     ends = pairs.select("x", "y").unionByName(pairs.select(F.col("y").alias("x"), F.col("x").alias("y")))
