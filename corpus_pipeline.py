@@ -3,9 +3,22 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemill.llm import ngram_join
-from tidemill.llm.store import materialise, tables
+from tidemill.llm import exact_dedup, mixing, ngram_join, packing, quality
+from tidemill.llm.queries import TARGETS, labelled_domains
+from tidemill.llm.store import materialise, new_path, partitions, tables
+
+
+def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier doesn't reject."""
+    scored = quality.scored(docs, tables(spark, sf_dir, "labels"))
+    return scored.filter("quality_keep").select(*docs.columns)
+
+
+def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first document of each text."""
+    return exact_dedup.exact_dedup(docs, exact_dedup.DigestIndex(spark, new_path(spark, "digest-index"), partitions(spark)))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,7 +26,24 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return ngram_join.one_of_each(docs)
 
 
-STAGES = [("n-gram Jaccard join", near_duplicates)]
+def mixed_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as many times as its fitted rate gives it."""
+    rated = mixing.mixed(docs, labelled_domains(spark, docs, sf_dir), TARGETS)
+    return rated.filter("mix_copies > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies")))).select(*docs.columns)
+
+
+def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of 2048 tokens as pieces of documents."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality classifier", good_documents),
+    ("exact dedup", distinct_documents),
+    ("n-gram Jaccard join", near_duplicates),
+    ("mixing sources to target weights", mixed_documents),
+    ("best-fit packing", sequences),
+]
 
 #: The classifier and the fitted rates can't be written in SQL; tests compare the stages with brute force.
 ORACLE_SQL = None

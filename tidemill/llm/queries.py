@@ -6,19 +6,52 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ngram_join
-from .store import tables
+from pyspark.sql import functions as F
+
+from . import exact_dedup, mixing, ngram_join, packing, quality
+from .store import new_path, partitions, tables
+
+#: Shares of the token budget by language, which is the domain that a document's text tells.
+TARGETS = {"de": 0.2, "en": 0.5, "es": 0.1, "fr": 0.2}
+
+
+def labelled_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, domain) of the labelled documents."""
+    return docs.select("doc_id", F.col("lang").alias("domain")).join(tables(spark, sf_dir, "labels").select("doc_id").distinct(), "doc_id", "left_semi")
+
+
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = quality.scored(tables(spark, sf_dir, "documents"), tables(spark, sf_dir, "labels"))
+    return docs.filter("quality_keep").select("doc_id", F.round("quality_score", 6).alias("quality_score"))
+
+
+def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = tables(spark, sf_dir, "documents")
+    index = exact_dedup.DigestIndex(spark, new_path(spark, "digest-index"), partitions(spark))
+    return exact_dedup.exact_dedup(docs, index).withColumn("digest", F.sha2("text", 256))
+
+
+def op5_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = tables(spark, sf_dir, "documents")
+    return mixing.mixed(docs, labelled_domains(spark, docs, sf_dir), TARGETS).select("doc_id", "mix_tokens", "mix_posterior", "mix_rate", "mix_copies")
+
+
+def op7_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(tables(spark, sf_dir, "documents"))
 
 
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_jaccard_join(tables(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op8_ngram_jaccard_join,)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_quality_classifier, op3_exact_dedup, op5_soft_mixing, op7_best_two_fit, op8_ngram_jaccard_join)}
 
 _WORDS = r"list_filter(regexp_split_to_array(lower(text), '[\x00-/:-`{-\x7f]+'), lambda x: x <> '')"
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_exact_dedup": """
+select doc_id, text, lang, source, n_chars, sha256(text) digest
+from (select *, row_number() over (partition by text order by doc_id nulls last) r from documents) where r = 1 or text is null""",
     "op8_ngram_jaccard_join": f"""
 with w as (select doc_id, {_WORDS} w from documents where doc_id is not null and text is not null),
 s as (select doc_id, list_sort(list_distinct(case when len(w) < 3 then [array_to_string(w, ' ')]
