@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, ngram_join, packing, quality
+from . import embedding_dups, exact_dedup, html_text, licenses, mixing, ngram_join, packing, quality, repair, warc
 from .store import new_path, partitions, tables
 
 #: Shares of the token budget by language, which is the domain that a document's text tells.
@@ -20,6 +20,10 @@ def labelled_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return docs.select("doc_id", F.col("lang").alias("domain")).join(tables(spark, sf_dir, "labels").select("doc_id").distinct(), "doc_id", "left_semi")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark, tables(spark, sf_dir, "pages")).withColumnRenamed("record_id", "page_id")
+
+
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = quality.scored(tables(spark, sf_dir, "documents"), tables(spark, sf_dir, "labels"))
     return docs.filter("quality_keep").select("doc_id", F.round("quality_score", 6).alias("quality_score"))
@@ -31,11 +35,20 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(docs, index).withColumn("digest", F.sha2("text", 256))
 
 
+def op4_repair_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.token_shards(tables(spark, sf_dir, "documents"))
+
+
 def op5_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = tables(spark, sf_dir, "documents")
     return mixing.mixed(docs, labelled_domains(spark, docs, sf_dir), TARGETS).select("doc_id", "mix_tokens", "mix_posterior", "mix_rate", "mix_copies")
 
 
+def op6_embedding_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = embedding_dups.near_duplicates(tables(spark, sf_dir, "embeddings"))
+    return found.select("vec_a", "vec_b", F.round("cosine", 6).alias("cosine"))
+
+
 def op7_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(tables(spark, sf_dir, "documents"))
 
@@ -44,11 +57,23 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_jaccard_join(tables(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_quality_classifier, op3_exact_dedup, op5_soft_mixing, op7_best_two_fit, op8_ngram_jaccard_join)}
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = tables(spark, sf_dir, "pages")
+    return pages.select("page_id", "url", html_text.extracted(F.col("html")).alias("found")).select("page_id", "url", "found.text", "found.score")
+
+
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(tables(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc, op2_quality_classifier, op3_exact_dedup, op4_repair_tokens, op5_soft_mixing, op6_embedding_near_dups, op7_best_two_fit, op8_ngram_jaccard_join, op9_html_text, op10_license_scan)}
 
 _WORDS = r"list_filter(regexp_split_to_array(lower(text), '[\x00-/:-`{-\x7f]+'), lambda x: x <> '')"
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_warc": """
+select page_id, url, sha256(html) digest, strlen(html) bytes, html
+from (select *, row_number() over (partition by html order by page_id) r from pages where html is not null) where r = 1""",
     "op3_exact_dedup": """
 select doc_id, text, lang, source, n_chars, sha256(text) digest
 from (select *, row_number() over (partition by text order by doc_id nulls last) r from documents) where r = 1 or text is null""",

@@ -49,8 +49,8 @@ def buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0]
 
 
-def chunks(texts: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, pa.Array]]:
-    """(first row, slice) with about CHUNK_BYTES in each slice; nulls become empty texts."""
+def chunks(texts: pa.Array | pa.ChunkedArray, size: int = CHUNK_BYTES) -> Iterator[tuple[int, pa.Array]]:
+    """(first row, slice) with about size bytes in each slice; nulls become empty texts."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
@@ -59,7 +59,7 @@ def chunks(texts: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, pa.Array]]:
     off = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
     a = 0
     while a < len(texts):
-        b = max(a + 1, int(np.searchsorted(off, off[a] + CHUNK_BYTES, "right")) - 1)
+        b = max(a + 1, int(np.searchsorted(off, off[a] + size, "right")) - 1)
         yield a, texts.slice(a, b - a)
         a = b
 
