@@ -109,14 +109,14 @@ def _pairs(a: np.ndarray, size: np.ndarray, threshold: float) -> tuple[np.ndarra
     return a[x[ok]], a[y[ok]]
 
 
-def _meet(threshold: float, hot: int | None):
-    """Rows (key, cls, size) sorted by key: pairs of each group of up to hot classes; larger groups are passed on (y null)."""
+def _meet(threshold: float, hot: int):
+    """Rows (key, cls, size) sorted by key: pairs of each group of up to hot classes; larger groups are passed on, with their size and smallest class."""
 
     def flush(key, cls, size):
         cls, first = np.unique(cls, return_index=True)
         size = size[first]
-        if hot and len(cls) > hot:
-            return np.full(len(cls), key), cls, size, True
+        if len(cls) > hot:
+            return np.full(len(cls), key), cls, size, True  # cls is sorted
         return (*_pairs(cls, size, threshold), None, False)
 
     def run(batches):
@@ -153,9 +153,13 @@ def _meet(threshold: float, hot: int | None):
                 yield from pack(*(np.concatenate(v) for v in zip(*hot_rows)), True)
 
         def pack(x, y, size, is_hot):
+            if is_hot:
+                first = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
+                label = np.repeat(y[first], np.diff(np.concatenate([first, [len(x)]])))
             for i in range(0, len(x), 1 << 17):
-                m = len(x[i : i + (1 << 17)])
-                yield pa.RecordBatch.from_arrays([pa.array(x[i : i + m]), pa.array(y[i : i + m]), pa.array(size[i : i + m].astype(np.int32)) if is_hot else pa.nulls(m, pa.int32())], ["x", "y", "size"])
+                part = slice(i, i + (1 << 17))
+                m = len(x[part])
+                yield pa.RecordBatch.from_arrays([pa.array(x[part]), pa.array(y[part]), pa.array(size[part].astype(np.int32)) if is_hot else pa.nulls(m, pa.int32()), pa.array(label[part]) if is_hot else pa.nulls(m, pa.int64())], ["x", "y", "size", "label"])
 
         for b in batches:
             yield from out(*(np.asarray(c).astype(np.int64) for c in b.columns[:3]), False)
@@ -164,6 +168,45 @@ def _meet(threshold: float, hot: int | None):
     return run
 
 
+def _meet_hot(threshold: float):
+    """Rows (label, key, cls, size) sorted by label and key: each label's pairs once, though its classes meet in many words."""
+
+    def run(batches):
+        rest, at, todo, held = [np.zeros(0, np.int64)] * 4, None, [], 0
+
+        def give(done: list[np.ndarray]):
+            if done:
+                both = np.unique(np.concatenate(done), axis=0)
+                for i in range(0, len(both), 1 << 17):
+                    part = both[i : i + (1 << 17)]
+                    yield pa.RecordBatch.from_arrays([pa.array(part[:, 0]), pa.array(part[:, 1])], ["x", "y"])
+
+        def out(rows, last):
+            nonlocal rest, at, todo, held
+            rows = [np.concatenate(p) for p in zip(rest, rows)]
+            label, key, cls, size = rows
+            if len(key):
+                edge = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (label[1:] != label[:-1]), [True]]))
+                if not last:
+                    rest = [v[edge[-2] :] for v in rows]
+                    edge = edge[:-1]
+                for i, j in zip(edge[:-1], edge[1:]):
+                    if label[i] != at or held > 1 << 22:
+                        yield from give(todo)
+                        at, todo, held = label[i], [], 0
+                    c, first = np.unique(cls[i:j], return_index=True)
+                    todo.append(np.column_stack(_pairs(c, size[i:j][first], threshold)))
+                    held += len(todo[-1])
+            if last:
+                yield from give(todo)
+
+        for b in batches:
+            yield from out([np.asarray(c).astype(np.int64) for c in b.columns], False)
+        yield from out([np.zeros(0, np.int64)] * 4, True)
+
+    return run
+
+
 def _alike(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
     """The pairs whose bit sketches allow the threshold."""
     side = lambda v: reps.select(F.col("cls").alias(v), *[F.col(c).alias(f"{c}_{v}") for c in ("size", "band", "bits")])
@@ -181,6 +224,7 @@ def _verify(n: int, threshold: float):
         flat = flat.chunk(0) if isinstance(flat, pa.ChunkedArray) else flat
         at, values = np.asarray(flat.offsets), np.asarray(flat.values).view(_U)
         where = {c: (at[i], at[i + 1]) for i, c in enumerate(sets.column("cls").to_pylist())}
+        ids = dict(zip(sets.column("cls").to_pylist(), sets.column("doc_id").to_pylist()))
         x, y = pairs.column("x").to_pylist(), pairs.column("y").to_pylist()
         keep, shared, na, nb = [], [], [], []
         for k, (a, b) in enumerate(zip(x, y)):
@@ -195,7 +239,7 @@ def _verify(n: int, threshold: float):
                 shared.append(m)
                 na.append(len(s))
                 nb.append(len(t))
-        return pa.table({"x": pa.array([x[k] for k in keep], pa.int64()), "y": pa.array([y[k] for k in keep], pa.int64()), "shared": pa.array(shared, pa.int32()), "nx": pa.array(na, pa.int32()), "ny": pa.array(nb, pa.int32())})
+        return pa.table({"a": pa.array([ids[x[k]] for k in keep], pa.int64()), "b": pa.array([ids[y[k]] for k in keep], pa.int64()), "shared": pa.array(shared, pa.int32()), "nx": pa.array(na, pa.int32()), "ny": pa.array(nb, pa.int32())})
 
     return run
 
@@ -203,13 +247,12 @@ def _verify(n: int, threshold: float):
 def _gram_sets(n: int):
     def run(batches):
         for b in batches:
-            cls, sets = [], []
-            for _, s in _sets(b.column(0), n):
+            rows, cls, sets = [], [], []
+            for k, s in _sets(b.column(1), n):
+                rows.append(k)
                 cls.append(class_of(s))
-                sets.append(s)
-            at = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-            flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))], ["cls", "grams"])
+                sets.append(s.view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), pa.array(cls, pa.int64()), _lists(sets)], ["doc_id", "cls", "grams"])
 
     return run
 
@@ -227,11 +270,12 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 3, threshold: float = 0.5, samp
     members = sig.groupBy("cls", "size").agg(F.min("doc_id").alias("rep"))
     reps = store.materialise(sig.groupBy("cls").agg(F.min(F.struct("doc_id", "size", "band", "keys", "bits")).alias("r")).select("cls", "r.size", "r.band", "r.keys", "r.bits"), "classes")
     words = reps.select(F.explode("keys").alias("key"), "cls", "size").repartition(parts, "key").sortWithinPartitions("key")
-    met = store.materialise(words.mapInArrow(_meet(threshold, hot), "x long, y long, size int"), "met")
+    met = store.materialise(words.mapInArrow(_meet(threshold, hot), "x long, y long, size int, label long"), "met")
     heavy = met.filter("size is not null").groupBy("y").count().filter(F.col("count") > PARTS // 4).select(F.col("y").alias("cls"))
-    again = met.filter("size is not null").join(heavy.withColumnRenamed("cls", "y"), "y", "left_semi").select("x", "y", "size").repartition(parts, "x").sortWithinPartitions("x")
-    pairs = store.materialise(met.filter("size is null").select("x", "y").unionByName(again.mapInArrow(_meet(threshold, None), "x long, y long, size int").select("x", "y")).distinct(), "candidates")
-    pairs = store.materialise(_alike(pairs, reps.select("cls", "size", "band", "bits"), threshold), "alike")
+    again = met.filter("size is not null").join(heavy.withColumnRenamed("cls", "y"), "y", "left_semi").select("label", F.col("x").alias("key"), F.col("y").alias("cls"), "size").repartition(parts, "label").sortWithinPartitions("label", "key")
+    cold = store.materialise(met.filter("size is null").select("x", "y").distinct(), "candidates")
+    cold = _alike(cold, reps.select("cls", "size", "band", "bits"), threshold)
+    pairs = store.materialise(cold.unionByName(again.mapInArrow(_meet_hot(threshold), "x long, y long")).distinct(), "pairs")
 
     # Pairs that share a small neighbour are verified in one place, so that a set travels about once, not once a pair.
     ends = pairs.select("x", "y").unionByName(pairs.select(F.col("y").alias("x"), F.col("x").alias("y")))
@@ -243,12 +287,11 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 3, threshold: float = 0.5, samp
     asked = members.join(wanted.select("cls").distinct(), "cls", "left_semi").select(F.col("rep").alias("doc_id")).distinct()
     asked = store.materialise(asked, "asked")
     few = asked.count() <= broadcast_rows
-    texts = rows.join(F.broadcast(asked) if few else asked, "doc_id", "left_semi").select("text")
-    grams = texts.mapInArrow(_gram_sets(n), "cls long, grams array<long>").join(wanted, "cls")
-    verified = placed.groupBy("tile").cogroup(grams.groupBy("at")).applyInArrow(_verify(n, threshold), "x long, y long, shared int, nx int, ny int")
+    texts = rows.join(F.broadcast(asked) if few else asked, "doc_id", "left_semi").select("doc_id", "text")
+    grams = texts.mapInArrow(_gram_sets(n), "doc_id long, cls long, grams array<long>").join(wanted, "cls")
+    verified = placed.groupBy("tile").cogroup(grams.groupBy("at")).applyInArrow(_verify(n, threshold), "a long, b long, shared int, nx int, ny int")
 
-    rep = members.select("cls", "rep")
-    near = verified.join(rep.select(F.col("cls").alias("x"), F.col("rep").alias("a")), "x").join(rep.select(F.col("cls").alias("y"), F.col("rep").alias("b")), "y")
+    near = verified
     swap = F.col("a") > F.col("b")
     near = near.select(F.least("a", "b").alias("doc_a"), F.greatest("a", "b").alias("doc_b"), "shared", F.when(swap, F.col("ny")).otherwise(F.col("nx")).alias("size_a"), F.when(swap, F.col("nx")).otherwise(F.col("ny")).alias("size_b"))
     same = sig.select("doc_id", "cls").join(members, "cls").filter("doc_id <> rep").select(F.col("rep").alias("doc_a"), F.col("doc_id").alias("doc_b"), F.col("size").alias("shared"), F.col("size").alias("size_a"), F.col("size").alias("size_b")).distinct()
