@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .plans import text_queries  # noqa: F401
+from .plans.registry import ORACLE_SQL, QUERIES  # noqa: F401
+
 FLAGSHIP = "corpus_source_stats"
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
