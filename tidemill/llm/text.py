@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 2 << 20  # memory per pass, not a bound on any text
+CHUNK_BYTES = 512 << 10  # memory per pass, not a bound on any text
 _U = np.uint64
 _P = 0x9E3779B97F4A7C15 | 1
 _INV = pow(_P, -1, 1 << 64)
