@@ -61,7 +61,9 @@ def compress(s: np.ndarray, at: np.ndarray, first: int, min_count: int = 8, per_
         rank = np.where(miss, len(found), rank)
         left, right = np.full(len(rank), len(found)), np.full(len(rank), len(found))
         left[1:], right[:-1] = rank[:-1], rank[1:]
-        hit = np.flatnonzero((rank < len(found)) & (rank < left) & (rank <= right))
+        place = np.arange(len(rank))
+        start = np.maximum.accumulate(np.where(rank == left, 0, place))  # of a run of one pair: every other place is taken
+        hit = np.flatnonzero((rank < len(found)) & (rank[start] < left[start]) & (rank <= right) & ((place - start) % 2 == 0))
         used = np.bincount(rank[hit], minlength=len(found))
         name = np.cumsum(used > 0) - 1
         s[hit] = first + len(rules) + name[rank[hit]]
