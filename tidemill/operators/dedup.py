@@ -20,20 +20,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def shingles(text: Column, n: int) -> Column:
-    w = F.filter(F.split(F.lower(text), r"(?U)\W+"), lambda x: x != "")
-    return F.when(F.size(w) < n, F.array(F.array_join(w, " "))).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(w, i, n), " "))))
+def shingles(docs: DataFrame, id_col: str, n: int) -> DataFrame:
+    """(id, g) for all word n-grams; a text of fewer words is one gram. Words are a column of their own, or each gram would split the text again."""
+    words = docs.select(F.col(id_col).alias("id"), F.filter(F.split(F.lower("text"), r"(?U)\W+"), lambda x: x != "").alias("w"))
+    return words.select("id", "w", F.explode(F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1)))).alias("i")).select("id", F.array_join(F.slice("w", F.col("i"), n), " ").alias("g"))
 
 
-def band_keys(grams: Column, bands: int, rows: int) -> Column:
-    """A key for each band: the smallest seeded hashes of the grams."""
-    least = lambda seed: F.array_min(F.transform(grams, lambda g: F.md5(F.concat(F.lit(f"{seed}_"), g))))
-    return F.array(*[F.concat(F.lit(f"{b}:"), *[least(b * rows + r) for r in range(rows)]) for b in range(bands)])
+def band_keys(docs: DataFrame, id_col: str, n: int, bands: int, rows: int) -> DataFrame:
+    """(id, key): for each band the smallest seeded hashes of a document's grams, as partial minima beside the scan."""
+    least = shingles(docs, id_col, n).groupBy("id").agg(*[F.min(F.md5(F.concat(F.lit(f"{s}_"), "g"))).alias(f"h{s}") for s in range(bands * rows)])
+    return least.select("id", F.explode(F.array(*[F.concat(F.lit(f"{b}:"), *[F.col(f"h{b * rows + r}") for r in range(rows)]) for b in range(bands)])).alias("key"))
 
 
 def minhash_pairs(docs: DataFrame, id_col: str = "doc_id", n: int = 5, bands: int = 4, rows: int = 2) -> DataFrame:
     """Edges (a, b) that connect all documents sharing a band key: each bucket is tied to its smallest id, so a bucket of k gives k - 1 edges."""
-    keys = docs.select(F.col(id_col).alias("id"), F.explode(band_keys(shingles(F.col("text"), n), bands, rows)).alias("key"))
+    keys = band_keys(docs, id_col, n, bands, rows)
     low = F.min("id").over(Window.partitionBy("key"))
     return keys.withColumn("a", low).filter("id <> a").select("a", F.col("id").alias("b")).distinct()
 
