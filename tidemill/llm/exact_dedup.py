@@ -44,6 +44,7 @@ def exact_dedup(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", tex
     and joined by sort-merge beyond that.
     """
     names = docs.columns
+    d, i, kept, own, row = (store.free_name(docs, f"__{x}") for x in ("d", "i", "keep", "digest", "row"))
     key = docs.select(digest(docs[text_col]).alias("digest"), docs[id_col].cast("long").alias("doc_id")).filter("digest is not null")
     spread = key.repartition(index.buckets, "digest").groupBy("digest", "doc_id").agg(F.count("*").alias("n"))
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"))
@@ -52,11 +53,11 @@ def exact_dedup(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", tex
     fresh = store.materialise(seen.filter("first").hint("merge").join(known.hint("merge"), "digest", "left_anti").select("digest", "doc_id"), "fresh")
     index.append(fresh)
     state = spread.join(fresh.withColumn("keep", F.lit(True)).withColumnRenamed("doc_id", "kept"), "digest", "left").withColumn("keep", F.coalesce(F.col("keep") & F.col("doc_id").eqNullSafe(F.col("kept")), F.lit(False)))
-    marked = store.materialise(state.filter("not keep or n > 1").select(F.col("digest").alias("__d"), F.col("doc_id").alias("__i"), F.col("keep").alias("__keep")), "drop")
+    marked = store.materialise(state.filter("not keep or n > 1").select(F.col("digest").alias(d), F.col("doc_id").alias(i), F.col("keep").alias(kept)), "drop")
     few = marked.count() <= broadcast_rows
     right = F.broadcast(marked) if few else marked
-    full = docs.withColumn("__digest", digest(docs[text_col]))
-    joined = full.join(right, F.col("__digest").eqNullSafe(F.col("__d")) & full[id_col].cast("long").eqNullSafe(F.col("__i")), "left")
-    once = joined.filter("__keep is null").select(*[full[c] for c in names])
-    again = joined.filter("__keep").withColumn("__row", F.row_number().over(Window.partitionBy("__d", "__i").orderBy(F.lit(1)))).filter("__row = 1").select(*names)
-    return once.unionByName(again) if marked.filter("__keep").limit(1).count() else once
+    full = docs.withColumn(own, digest(docs[text_col]))
+    joined = full.join(right, F.col(own).eqNullSafe(F.col(d)) & full[id_col].cast("long").eqNullSafe(F.col(i)), "left")
+    once = joined.filter(F.col(kept).isNull()).select(*[full[c] for c in names])
+    again = joined.filter(F.col(kept)).withColumn(row, F.row_number().over(Window.partitionBy(d, i).orderBy(F.lit(1)))).filter(F.col(row) == 1).select(*names)
+    return once.unionByName(again) if marked.filter(F.col(kept)).limit(1).count() else once

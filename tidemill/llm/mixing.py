@@ -181,5 +181,6 @@ def copies(rate: Column, key: Column, seed: int = 1992) -> Column:
 def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], tokens: float | None = None, id_col: str = "doc_id", text_col: str = "text", max_labelled: int = 40_000) -> DataFrame:
     """docs with mix_tokens, mix_posterior (targets' domains in order), mix_rate and mix_copies."""
     mixer = fit_rates(docs, classifier(docs, labelled, sorted(targets), id_col, text_col, max_labelled), targets, tokens, text_col)
-    with_it = docs.withColumn("__mix", columns(mixer, docs[text_col]))
-    return with_it.select(*[with_it[c] for c in docs.columns], F.col("__mix.tokens").alias("mix_tokens"), F.col("__mix.posterior").alias("mix_posterior"), F.col("__mix.rate").alias("mix_rate"), copies(F.col("__mix.rate"), with_it[id_col]).alias("mix_copies"))
+    mix = store.free_name(docs, "__mix")
+    with_it = docs.withColumn(mix, columns(mixer, docs[text_col]))
+    return with_it.select(*[with_it[c] for c in docs.columns], F.col(f"{mix}.tokens").alias("mix_tokens"), F.col(f"{mix}.posterior").alias("mix_posterior"), F.col(f"{mix}.rate").alias("mix_rate"), copies(F.col(f"{mix}.rate"), with_it[id_col]).alias("mix_copies"))

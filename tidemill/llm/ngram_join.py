@@ -324,7 +324,8 @@ def components(pairs: DataFrame, a: str = "doc_a", b: str = "doc_b", rounds: int
 
 def one_of_each(docs: DataFrame, n: int = 3, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 1_000_000) -> DataFrame:
     """docs without all but the smallest id of each group of near copies; rows with a null id or text stay."""
+    name = store.free_name(docs, "__gone")
     groups = components(ngram_jaccard_join(docs, n, threshold, id_col=id_col, text_col=text_col))
-    gone = store.materialise(groups.filter("id <> group").select(F.col("id").alias("__gone")), "gone")
+    gone = store.materialise(groups.filter("id <> group").select(F.col("id").alias(name)), "gone")
     few = gone.count() <= broadcast_rows
-    return docs.join(F.broadcast(gone) if few else gone, docs[id_col] == F.col("__gone"), "left_anti")
+    return docs.join(F.broadcast(gone) if few else gone, docs[id_col].cast("long") == gone[name], "left_anti")
