@@ -319,7 +319,8 @@ def components(pairs: DataFrame, a: str = "doc_a", b: str = "doc_b", rounds: int
         if mark == before:
             break
         before = mark
-    return edges.groupBy("u").agg(F.min("v").alias("group")).select(F.col("u").alias("id"), "group")
+    low = edges.groupBy("u").agg(F.min("v").alias("group")).select(F.col("u").alias("id"), "group")
+    return low.unionByName(low.select(F.col("group").alias("id"), "group").distinct())
 
 
 def one_of_each(docs: DataFrame, n: int = 3, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 1_000_000) -> DataFrame:
