@@ -35,44 +35,54 @@ def encoding(vocabulary: bytes, pattern: str = PATTERN):
     return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
-def compress(s: np.ndarray, at: np.ndarray, first: int, min_count: int = 8, per_round: int = 4096) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def compress(s: np.ndarray, at: np.ndarray, first: int, min_count: int = 8, per_round: int = 1 << 16) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, each document's first, rules as rows of left and right) of token ids s; nonterminals start at `first`."""
     s = s.astype(np.int64)
-    doc = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    sizes = np.diff(at)
+    link = np.ones(len(s), bool)  # whether the next id is of the same document
+    link[at[1:][sizes > 0] - 1] = False
     rules = np.zeros((0, 2), np.int64)
-    slots = np.uint64(44)
+    slots, odd = np.uint64(44), np.uint64(0x9E3779B97F4A7C15)
     while len(s) > 1:
-        key = (s[:-1] << 32) | s[1:]
-        inside = doc[1:] == doc[:-1]
-        h = ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> slots).astype(np.int64)
-        often = (np.bincount(h[inside], minlength=1 << 20) >= min_count)[h] & inside
-        found, count = np.unique(key[often], return_counts=True)
+        key = s[:-1] << 32
+        key |= s[1:]
+        h = (key.view(np.uint64) * odd >> slots).view(np.int64)
+        h[~link[:-1]] = 1 << 20
+        seen = np.bincount(h, minlength=(1 << 20) + 1)
+        seen[-1] = 0
+        at_pair = np.flatnonzero((seen >= min_count)[h])  # all that follows looks at pairs that may be frequent alone
+        key, h = key[at_pair], h[at_pair]
+        found, count = np.unique(key, return_counts=True)
         found, count = found[count >= min_count], count[count >= min_count]
         if not len(found):
             break
         best = np.lexsort((found, -count))[:per_round]
         found = found[best]
-        place = ((found.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> slots).astype(np.int64)
+        slot = (found.view(np.uint64) * odd >> slots).view(np.int64)
         table = np.full(1 << 20, -1, np.int32)
-        table[place[::-1]] = np.arange(len(found), dtype=np.int32)[::-1]  # of two pairs in a slot the commoner is done now
+        table[slot[::-1]] = np.arange(len(found), dtype=np.int32)[::-1]  # of two pairs in a slot the commoner is done now
         rank = table[h]
-        miss = (rank < 0) | ~inside
-        miss |= found[rank] != key
-        rank = np.where(miss, len(found), rank)
+        real = (rank >= 0) & (found[rank] == key)
+        at_pair, rank = at_pair[real], rank[real]
+        near = at_pair[1:] - at_pair[:-1] == 1
         left, right = np.full(len(rank), len(found)), np.full(len(rank), len(found))
-        left[1:], right[:-1] = rank[:-1], rank[1:]
+        left[1:][near], right[:-1][near] = rank[:-1][near], rank[1:][near]
         place = np.arange(len(rank))
         start = np.maximum.accumulate(np.where(rank == left, 0, place))  # of a run of one pair: every other place is taken
-        hit = np.flatnonzero((rank < len(found)) & (rank[start] < left[start]) & (rank <= right) & ((place - start) % 2 == 0))
-        used = np.bincount(rank[hit], minlength=len(found))
+        take = (rank[start] < left[start]) & (rank <= right) & ((place - start) % 2 == 0)
+        hit, rank = at_pair[take], rank[take]
+        used = np.bincount(rank, minlength=len(found))
         name = np.cumsum(used > 0) - 1
-        s[hit] = first + len(rules) + name[rank[hit]]
+        s[hit] = first + len(rules) + name[rank]
+        link[hit] = link[hit + 1]
         made = found[used > 0]
         rules = np.concatenate([rules, np.column_stack([made >> 32, made & 0xFFFFFFFF])])
         keep = np.ones(len(s), bool)
         keep[hit + 1] = False
-        s, doc = s[keep], doc[keep]
-    return s, np.searchsorted(doc, np.arange(len(at))), rules
+        s, link = s[keep], link[keep]
+    left_in = np.zeros(len(sizes), np.int64)
+    left_in[sizes > 0] = np.diff(np.concatenate([[-1], np.flatnonzero(~link)]))
+    return s, np.concatenate([[0], np.cumsum(left_in)]), rules
 
 
 def expansion_lengths(rules: np.ndarray, first: int) -> np.ndarray:
