@@ -419,7 +419,7 @@ def m2_mixture_stats(spark, load):
     return mixed.groupBy("source").agg(F.sum("num_tokens").alias("tokens"), F.count("*").alias("documents"))
 
 
-@query("""with t as (select doc_id, string_split(text || chr(3), '') t from documents), p as (select *, sum(len(t)) over (order by doc_id) - len(t) at from t), e as (select at + i - 1 pos, ascii(t[i]) id from p, lateral (select unnest(range(1, len(t) + 1)) i))
+@query("""with t as (select doc_id, string_split(text || chr(3), '') t from documents), p as (select *, sum(len(t)) over (order by doc_id) - len(t) as a0 from t), e as (select a0 + i - 1 pos, ascii(t[i]) id from p, lateral (select unnest(range(1, len(t) + 1)) i))
 select (pos // 4096)::bigint block_id, list(id order by pos) input_ids from e group by 1 having count(*) = 4096""")
 def m3_pack_blocks(spark, load):
     ids = load("documents").select("doc_id", pack.char_ids(F.concat("text", F.char(F.lit(3)))).alias("ids"))
@@ -507,7 +507,7 @@ def n7_concepts(spark, load):
 
 
 @query("""with d as (select l_orderkey cui, string_agg(p_name, chr(10) order by p_name, l_linenumber) definitions from lineitem join part on l_partkey = p_partkey where l_returnflag = 'N' group by 1),
-r as (select a.l_orderkey cui, string_agg(a.l_shipmode || ' ' || b.l_partkey, '|' order by a.l_linenumber, b.l_linenumber) relations from (select *, l_returnflag as l_shipmode from lineitem) a join lineitem b on a.l_orderkey = b.l_orderkey and a.l_partkey <> b.l_partkey group by 1)
+r as (select a.l_orderkey cui, string_agg(a.l_shipmode || ' ' || b.l_partkey, '|' order by a.l_linenumber, b.l_linenumber, a.l_shipmode || ' ' || b.l_partkey) relations from (select *, l_returnflag as l_shipmode from lineitem) a join lineitem b on a.l_orderkey = b.l_orderkey and a.l_partkey <> b.l_partkey group by 1)
 select o_orderkey cui, coalesce(definitions, '') definitions, coalesce(relations, '') relations from orders left join d on d.cui = o_orderkey left join r on r.cui = o_orderkey""")
 def n8_concept_relations(spark, load):
     li = load("lineitem")
