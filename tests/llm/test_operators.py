@@ -88,6 +88,35 @@ def test_join_hot_groups(spark):
     assert len(want) == 90 * 89 // 2 and len(got & want) >= 0.97 * len(want) and got <= want
 
 
+@pytest.mark.parametrize(("count", "words", "last"), [(100, 4, True), (100, 6, True), (100, 8, True), (100, 12, True), (130, 16, False)])
+def test_join_hot_groups_of_short_texts(spark, count, words, last):
+    """Short texts whose words are all hot lose no pair, nor does a text that shares one hot word alone; the shortest are below the threshold."""
+    rng = random.Random(words)
+    base = [f"t{i}" for i in range(words)]
+    texts = []
+    for i in range(count):
+        w = list(base)
+        w[-1 if last else rng.randrange(words)] = f"u{i}"
+        texts.append((i, " ".join(w)))
+    texts += [(count, " ".join(base[:-1])), (count + 1, " ".join(base + ["z1", "z2"]))]
+    got = {(r.doc_a, r.doc_b) for r in ngram_join.ngram_jaccard_join(spark.createDataFrame(rows(texts), SCHEMA)).collect()}
+    want = brute_pairs(texts)
+    assert len(want) > (0 if words == 4 else count) and got == want
+
+
+def test_hot_pairs_are_compared_as_cold_ones():
+    """Every pair within the threshold passes, over size bands, and no other than the sketches allow."""
+    rng = np.random.default_rng(3)
+    base = np.unique(rng.integers(0, 1 << 63, 220, dtype=np.uint64) * np.uint64(2))
+    sets = [base[:n][rng.random(n) > 0.1] for n in (60, 80, 95, 100, 120, 150, 190, 200, 220) for _ in range(4)]
+    js = [ngram_join.bands(len(s), 96, 0.5) for s in sets]
+    bits = np.array([[ngram_join.bit_sketch(s, j).view(np.uint64) for j in (*b, *b)[:2]] for s, b in zip(sets, js)])
+    size, band = np.array([len(s) for s in sets]), np.array([b[0] for b in js])
+    got = [tuple(p) for block in ngram_join._near(np.arange(len(sets)), size, band, bits, 0.5) for p in block.tolist()]
+    want = {(a, b) for b in range(len(sets)) for a in range(b) if len(np.intersect1d(sets[a], sets[b])) >= 0.5 * len(np.union1d(sets[a], sets[b])) and {*js[a]} & {*js[b]}}
+    assert len(got) == len(set(got)) and want <= set(got) and len(want) > 300
+
+
 def test_parity_bounds():
     rng = np.random.default_rng(1)
     for _ in range(50):

@@ -7,12 +7,13 @@ Sketch: an n-gram flips one 64-bit pattern in one of PARTS words (exclusive or),
 at most as many words as the symmetric difference has members. Sets larger than `sample` are sketched
 over the n-grams with the smallest hashes, at a rate set by the size band (powers of two), so that a
 sketch has the same length at every size. Classes meet if any word of their sketches, within a band that
-both belong to, is equal: up to PARTS - 1 differences this can't fail (pigeonhole); beyond, chance leaves a word
+both belong to, is equal: up to PARTS - 1 differences this can't fail (pigeonhole) but where all equal words are empty, so
+small sets have their n-grams as words too, and no pair with one of up to SMALL can fail; beyond, chance leaves a word
 alone with a probability that tests measure (above 0.97 of all pairs at the threshold, nearly all above it).
 A class also joins the next band if a partner within the threshold could lie there.
 
-Words shared by more than `hot` classes are set aside. A class keeps at least three quarters of its
-words without them, or else its hot words are joined too: no partner is capped.
+Words shared by more than `hot` classes are met in one place by label, so that a pair with many of them is given once;
+there the bit sketches are compared block by block and only pairs that pass are kept. No word and no partner is left out.
 Candidates whose bit sketches (one bit flipped for each n-gram) differ in more bits than the threshold allows are dropped:
 exactly so for unsampled sets, and by four standard deviations of the sampled difference for others.
 All the rest are verified on the full n-gram sets.
@@ -35,6 +36,7 @@ from . import store, text
 
 PARTS = 32
 BITS = 8  # 64-bit words of the bit sketch
+SMALL = 8
 _U = np.uint64
 
 
@@ -95,7 +97,8 @@ def _signatures(n: int, threshold: float, sample: int):
                 size.append(len(s))
                 js = bands(len(s), sample, threshold)
                 band.append(js[0])
-                keys.append(np.concatenate([sketch(s, j) for j in js]))
+                grams = [text.mix(s ^ _U(0x2545F4914F6CDD1D)).astype(np.int64)] if len(s) * threshold <= SMALL else []
+                keys.append(np.concatenate([sketch(s, j) for j in js] + grams))
                 bits.append(np.concatenate([bit_sketch(s, j) for j in js]))
             yield pa.RecordBatch.from_arrays([ids.take(pa.array(rows, pa.int64())), pa.array(cls, pa.int64()), pa.array(size, pa.int32()), pa.array(band, pa.int32()), _lists(keys), _lists(bits)], ["doc_id", "cls", "size", "band", "keys", "bits"])
 
@@ -168,41 +171,70 @@ def _meet(threshold: float, hot: int):
     return run
 
 
+def _near(cls: np.ndarray, size: np.ndarray, band: np.ndarray, bits: np.ndarray, threshold: float) -> Iterator[np.ndarray]:
+    """Blocks of the pairs of a group that sizes and bit sketches allow, by the rule of _alike; bits has the sketches of a class's one or two bands."""
+    for p in np.unique(band):
+        for q in (p, p + 1):
+            x, y = np.flatnonzero(band == p), np.flatnonzero(band == q)
+            step = max(1, (1 << 18) // max(1, len(y)))
+            for i in range(0, len(x) if len(y) else 0, step):
+                r = x[i : i + step]
+                ok = np.minimum(size[r][:, None], size[y]) >= threshold * np.maximum(size[r][:, None], size[y]) - 1e-9
+                if p == q:
+                    ok &= r[:, None] < y
+                j, k = np.nonzero(ok)
+                j, k = r[j], y[k]
+                apart = np.bitwise_count(bits[j, q - p] ^ bits[k, 0]).sum(1, dtype=np.int64)
+                most = (1 - threshold) / (1 + threshold) * (size[j] + size[k]) * 0.5**q
+                ok = apart <= most + 4 * np.sqrt(most * (1 - 0.5**q)) + 1e-6
+                a, b = cls[j[ok]], cls[k[ok]]
+                yield np.column_stack([np.minimum(a, b), np.maximum(a, b)])
+
+
 def _meet_hot(threshold: float):
-    """Rows (label, key, cls, size) sorted by label and key: each label's pairs once, though its classes meet in many words."""
+    """Rows (label, key, cls, size, band, bits) sorted by label and key: each label's pairs that may be alike, about once, though its classes meet in many words."""
 
     def run(batches):
-        rest, at, todo, held = [np.zeros(0, np.int64)] * 4, None, [], 0
+        rest, at, todo, held = None, None, [], 0
 
         def give(done: list[np.ndarray]):
             if done:
-                both = np.unique(np.concatenate(done), axis=0)
+                both = np.concatenate(done)
+                both = both[np.lexsort((both[:, 1], both[:, 0]))]
+                both = both[np.concatenate([[True], (both[1:] != both[:-1]).any(1)])[: len(both)]]
                 for i in range(0, len(both), 1 << 17):
                     part = both[i : i + (1 << 17)]
                     yield pa.RecordBatch.from_arrays([pa.array(part[:, 0]), pa.array(part[:, 1])], ["x", "y"])
 
         def out(rows, last):
             nonlocal rest, at, todo, held
-            rows = [np.concatenate(p) for p in zip(rest, rows)]
-            label, key, cls, size = rows
-            if len(key):
+            rows = rows if rest is None else rest if rows is None else [np.concatenate(p) for p in zip(rest, rows)]
+            if rows is not None and len(rows[0]):
+                label, key, cls, size, band, bits = rows
                 edge = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (label[1:] != label[:-1]), [True]]))
                 if not last:
                     rest = [v[edge[-2] :] for v in rows]
                     edge = edge[:-1]
                 for i, j in zip(edge[:-1], edge[1:]):
-                    if label[i] != at or held > 1 << 22:
+                    if label[i] != at:
                         yield from give(todo)
                         at, todo, held = label[i], [], 0
                     c, first = np.unique(cls[i:j], return_index=True)
-                    todo.append(np.column_stack(_pairs(c, size[i:j][first], threshold)))
-                    held += len(todo[-1])
+                    for pairs in _near(c, size[i:j][first], band[i:j][first], bits[i:j][first], threshold):
+                        todo.append(pairs)
+                        held += len(pairs)
+                        if held > 1 << 22:
+                            yield from give(todo)
+                            todo, held = [], 0
             if last:
                 yield from give(todo)
 
         for b in batches:
-            yield from out([np.asarray(c).astype(np.int64) for c in b.columns], False)
-        yield from out([np.zeros(0, np.int64)] * 4, True)
+            n = np.asarray(b.column(5).value_lengths()).astype(np.int64)
+            bits = np.zeros((len(n), 2 * BITS), _U)
+            bits[np.arange(2 * BITS) < n[:, None]] = np.asarray(b.column(5).flatten()).view(_U)
+            yield from out([*(np.asarray(c).astype(np.int64) for c in b.columns[:5]), bits.reshape(-1, 2, BITS)], False)
+        yield from out(None, True)
 
     return run
 
@@ -271,8 +303,8 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 3, threshold: float = 0.5, samp
     reps = store.materialise(sig.groupBy("cls").agg(F.min(F.struct("doc_id", "size", "band", "keys", "bits")).alias("r")).select("cls", "r.size", "r.band", "r.keys", "r.bits"), "classes")
     words = reps.select(F.explode("keys").alias("key"), "cls", "size").repartition(parts, "key").sortWithinPartitions("key")
     met = store.materialise(words.mapInArrow(_meet(threshold, hot), "x long, y long, size int, label long"), "met")
-    heavy = met.filter("size is not null").groupBy("y").count().filter(F.col("count") > PARTS // 4).select(F.col("y").alias("cls"))
-    again = met.filter("size is not null").join(heavy.withColumnRenamed("cls", "y"), "y", "left_semi").select("label", F.col("x").alias("key"), F.col("y").alias("cls"), "size").repartition(parts, "label").sortWithinPartitions("label", "key")
+    side = reps.select(F.col("cls").alias("y"), "band", "bits")
+    again = met.filter("size is not null").join(side, "y").select("label", F.col("x").alias("key"), F.col("y").alias("cls"), "size", "band", "bits").repartition(parts, "label").sortWithinPartitions("label", "key")
     cold = store.materialise(met.filter("size is null").select("x", "y").distinct(), "candidates")
     cold = _alike(cold, reps.select("cls", "size", "band", "bits"), threshold)
     pairs = store.materialise(cold.unionByName(again.mapInArrow(_meet_hot(threshold), "x long, y long")).distinct(), "pairs")
