@@ -102,6 +102,34 @@ def test_dedup(spark):
     assert got == {1: "a\nb\nc\nd", 2: "x\ny"}
 
 
+def test_context_path_walks_every_vector(spark):
+    """No edge between labels is cut: the walk of a component is the plain search over all its edges."""
+    from tidemill.queries import QUERIES
+
+    got = QUERIES["l5_context_path"](spark, "/root/testdata/sf0.01").collect()
+    ids = [r.vec_id for r in spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select("vec_id").collect()]
+    assert sorted(r.vec_id for r in got) == sorted(ids)
+    paths = {}
+    for r in sorted(got, key=lambda r: (r.cluster, r.pos)):
+        paths.setdefault(r.cluster, []).append(r.vec_id)
+    near = QUERIES["l4_knn_exact"](spark, "/root/testdata/sf0.01").filter("rank <= 4 and query_id <> vec_id").collect()
+    group = {x: c for c, path in paths.items() for x in path}
+    graph = {}
+    for a, b in sorted({(min(r.query_id, r.vec_id), max(r.query_id, r.vec_id)) for r in near}):
+        assert group[a] == group[b]
+        graph.setdefault(a, set()).add(b)
+        graph.setdefault(b, set()).add(a)
+    place = {x: i for i, x in enumerate(graph)}
+    for path in paths.values():
+        left = {x: set(graph[x]) for x in path}
+        while path:
+            first = min(left, key=lambda x: (len(left[x]), place[x]))
+            gone = {first} | left[first]
+            assert path[0] == first and set(path[: len(gone)]) == gone
+            path = path[len(gone) :]
+            left = {x: y - gone for x, y in left.items() if x not in gone}
+
+
 def test_entry(spark):
     import __spark_entry__
 

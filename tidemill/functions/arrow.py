@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import html
 import re
 from collections.abc import Callable
@@ -267,14 +268,21 @@ def in_context_path(edges: list[tuple]) -> list:
     for a, b, w in edges:
         graph.setdefault(a, {})[b] = w
         graph.setdefault(b, {})[a] = w
+    place = {n: i for i, n in enumerate(graph)}
+    heap = [(len(near), place[n], n) for n, near in graph.items()]  # entries of degrees since changed are passed over
+    heapq.heapify(heap)
     path = []
-    while graph:
-        node = min(graph, key=lambda n: len(graph[n]))
+    while heap:
+        degree, _, node = heapq.heappop(heap)
+        if node not in graph or len(graph[node]) != degree:
+            continue
         near = sorted(graph[node].items(), key=lambda x: x[1])
         for n in [node, *(n for n, _ in near)]:
             path.append(n)
             for m in graph.pop(n):
-                graph.get(m, {}).pop(n, None)
+                if m in graph:
+                    graph[m].pop(n)
+                    heapq.heappush(heap, (len(graph[m]), place[m], m))
     return path
 
 

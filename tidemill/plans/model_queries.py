@@ -378,19 +378,20 @@ def l4_knn_cells(spark, load):
 
 @query()
 def l5_context_path(spark, load):
-    """A path through each component of the neighbour graph, one component a task; components are bounded by the label they share."""
-    v = load("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"), "label")
-    near = vectors.knn(v.select("id", "v"), v.select("id", "v"), 4).filter("query_id <> vec_id")
-    own = v.select(F.col("id").alias("query_id"), "label")
-    other = v.select(F.col("id").alias("vec_id"), F.col("label").alias("other"))
-    edges = near.join(own, "query_id").join(other, "vec_id").filter("label = other").groupBy("label", F.least("query_id", "vec_id").alias("a"), F.greatest("query_id", "vec_id").alias("b")).agg(F.min("distance").alias("w"))
+    """A path through each whole component of the neighbour graph, named by its smallest id; one component is one task, as the walk is sequential."""
+    v = load("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+    near = vectors.knn(v, v, 4).filter("query_id <> vec_id")
+    edges = dedup.written(near.groupBy(F.least("query_id", "vec_id").alias("a"), F.greatest("query_id", "vec_id").alias("b")).agg(F.min("distance").alias("w")), "near")
+    cluster = dedup.components(edges)
 
     def path(t: pa.Table) -> pa.Table:
         t = t.sort_by([("a", "ascending"), ("b", "ascending")])
         order = A.in_context_path(list(zip(t.column("a").to_pylist(), t.column("b").to_pylist(), t.column("w").to_pylist())))
-        return pa.table({"label": pa.array([t.column("label")[0].as_py()] * len(order), pa.int32()), "pos": pa.array(range(len(order)), pa.int64()), "vec_id": pa.array(order, pa.int64())})
+        return pa.table({"cluster": pa.array([t.column("cluster")[0].as_py()] * len(order), pa.int64()), "pos": pa.array(range(len(order)), pa.int64()), "vec_id": pa.array(order, pa.int64())})
 
-    return edges.groupBy("label").applyInArrow(path, "label int, pos long, vec_id long")
+    walked = edges.join(cluster.withColumnRenamed("id", "a"), "a").groupBy("cluster").applyInArrow(path, "cluster long, pos long, vec_id long")
+    alone = v.join(cluster, "id", "left_anti").select(F.col("id").cast("long").alias("cluster"), F.lit(0).cast("long").alias("pos"), F.col("id").cast("long").alias("vec_id"))
+    return walked.unionByName(alone)
 
 
 @query(r"""with a as (select conv_id, turn, role || ' # ANSWER ' || chr(65 + (turn % 4)::int) c from conversations), t as (select *, string_split(c, ' # ANSWER ') p from a)
