@@ -102,6 +102,14 @@ def test_dedup(spark):
     assert got == {1: "a\nb\nc\nd", 2: "x\ny"}
 
 
+def test_knn_cells_recall(spark):
+    """Against the exact neighbours of all vectors, not only of those that chose the probes."""
+    from tidemill.queries import QUERIES
+
+    exact, cells = ({(r.query_id, r.vec_id) for r in QUERIES[q](spark, "/root/testdata/sf0.01").collect()} for q in ("l4_knn_exact", "l4_knn_cells"))
+    assert len(cells) == len(exact) and len(exact & cells) >= 0.9 * len(exact)
+
+
 def test_context_path_walks_every_vector(spark):
     """No edge between labels is cut: the walk of a component is the plain search over all its edges."""
     from tidemill.queries import QUERIES

@@ -52,17 +52,44 @@ def knn(queries: DataFrame, base: DataFrame, k: int, metric: str = "l2", blocks:
     return found.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
-def train_cells(base: DataFrame, cells: int, sample: int = 20_000, rounds: int = 8, seed: int = 1992) -> np.ndarray:
-    """Centroids by k-means on a bounded sample (its bound is `sample`)."""
-    x = _rows(base.select("id", "v").orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(sample).toArrow().column("v"))
-    c = x[np.random.default_rng(seed).choice(len(x), min(cells, len(x)), replace=False)]
+def train_cells(base: DataFrame, cells: int, rounds: int = 8, seed: int = 1992) -> np.ndarray:
+    """Centroids by k-means over all vectors: each round sums the vectors of a cell by partition; only the centroids come to the driver."""
+    c = _rows(base.select("id", "v").orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(cells).toArrow().column("v"))
     for _ in range(rounds):
-        own = _distance(x, c, "l2").argmin(1)
-        for j in np.unique(own):
-            c[j] = x[own == j].mean(0)
+
+        def sums(batches, c=c):
+            n, total = np.zeros(len(c), np.int64), np.zeros(c.shape)
+            for b in batches:
+                x = np.asarray(b.column(0).flatten(), np.float64).reshape(len(b), -1)
+                for i in range(0, len(x), 512):
+                    own = _distance(x[i : i + 512], c, "l2").argmin(1)
+                    n += np.bincount(own, minlength=len(c))
+                    np.add.at(total, own, x[i : i + 512])
+            some = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some]), pa.array(list(total[some]), pa.list_(pa.float64()))], ["cell", "n", "total"])
+
+        def add(t: pa.Table) -> pa.Table:
+            total = _rows(t.column("total")).sum(0) / np.asarray(t.column("n")).sum()
+            return pa.table({"cell": t.column("cell").slice(0, 1), "mean": pa.array([total], pa.list_(pa.float64()))})
+
+        new = base.select(F.col("v").cast("array<double>")).mapInArrow(sums, "cell long, n long, total array<double>").groupBy("cell").applyInArrow(add, "cell long, mean array<double>").toArrow()
+        c = c.copy()
+        c[np.asarray(new.column("cell"))] = _rows(new.column("mean"))
     return c
 
 
+def choose_probes(queries: DataFrame, base: DataFrame, k: int, centroids: np.ndarray, recall: float = 0.95, sample: int = 256, seed: int = 7) -> int:
+    """The fewest cells to probe that hold `recall` of the exact neighbours of `sample` queries; the sample is drawn by hash and decides on nothing else."""
+    q = queries.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(sample)
+    found = knn(q, base, k).join(base.select(F.col("id").alias("vec_id"), F.col("v").alias("w")), "vec_id").join(q.select(F.col("id").alias("query_id"), "v"), "query_id").select("v", "w").toArrow()
+    if not len(found):
+        return 1
+    near = _distance(_rows(found.column("v")), centroids, "l2").argsort(1, kind="stable")
+    own = _distance(_rows(found.column("w")), centroids, "l2").argmin(1)
+    at = np.sort((near == own[:, None]).argmax(1))
+    return int(at[int(np.ceil(recall * len(at))) - 1]) + 1
+
+
 def knn_cells(queries: DataFrame, base: DataFrame, k: int, centroids: np.ndarray, probes: int) -> DataFrame:
     """The k nearest among the vectors of the `probes` cells nearest to each query: approximate, and linear in base."""
 
@@ -70,7 +97,7 @@ def knn_cells(queries: DataFrame, base: DataFrame, k: int, centroids: np.ndarray
         def run(batches):
             for b in batches:
                 v = np.asarray(b.column(1).flatten(), np.float64).reshape(len(b), -1)
-                best = np.argsort(_distance(v, centroids, "l2"), axis=1, kind="stable")[:, :n]
+                best = np.concatenate([np.argsort(_distance(v[i : i + 512], centroids, "l2"), axis=1, kind="stable")[:, :n] for i in range(0, max(1, len(v)), 512)])
                 rows = np.repeat(np.arange(len(b)), best.shape[1])
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), b.column(1).take(pa.array(rows)), pa.array(best.ravel().astype(np.int32))], ["id", "v", "cell"])
 
@@ -83,9 +110,14 @@ def knn_cells(queries: DataFrame, base: DataFrame, k: int, centroids: np.ndarray
         if not len(q) or not len(b):
             return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "distance": pa.array([], pa.float64())})
         ids = np.asarray(b.column("id"))
-        d = np.round(_distance(_rows(q.column("v")), _rows(b.column("w")), "l2"), 9)
-        best = np.argsort(d, axis=1, kind="stable")[:, :k]
-        return pa.table({"query_id": pa.array(np.repeat(np.asarray(q.column("id")), best.shape[1])), "vec_id": pa.array(ids[best].ravel()), "distance": pa.array(np.take_along_axis(d, best, 1).ravel())})
+        order = np.argsort(ids, kind="stable")  # ties go to the smaller id
+        ids, qs, x, best, far = ids[order], _rows(q.column("v")), _rows(b.column("w"))[order], [], []
+        for i in range(0, len(qs), 512):
+            d = np.round(_distance(qs[i : i + 512], x, "l2"), 9)
+            best.append(np.argsort(d, axis=1, kind="stable")[:, :k])
+            far.append(np.take_along_axis(d, best[-1], 1))
+        best = np.concatenate(best)
+        return pa.table({"query_id": pa.array(np.repeat(np.asarray(q.column("id")), best.shape[1])), "vec_id": pa.array(ids[best].ravel()), "distance": pa.array(np.concatenate(far).ravel())})
 
     found = q.groupBy("cell").cogroup(b.groupBy("place")).applyInArrow(near, "query_id long, vec_id long, distance double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "vec_id"))

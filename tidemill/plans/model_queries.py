@@ -373,7 +373,8 @@ def l4_knn_exact(spark, load):
 def l4_knn_cells(spark, load):
     v = load("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
     cells = max(1, round(v.count() ** 0.5))
-    return vectors.knn_cells(v, v, 10, vectors.train_cells(v, cells), max(1, cells // 4))
+    centroids = vectors.train_cells(v, cells)
+    return vectors.knn_cells(v, v, 10, centroids, vectors.choose_probes(v, v, 10, centroids))
 
 
 @query()
