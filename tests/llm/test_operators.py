@@ -54,6 +54,11 @@ def test_join_awkward(awkward, empty):
     got = {(r.doc_a, r.doc_b) for r in ngram_join.ngram_jaccard_join(awkward).collect()}
     assert got == {(1, 2), (7, 8)}
     assert ngram_join.ngram_jaccard_join(empty).count() == 0
+    every = {(r.doc_a, r.doc_b) for r in ngram_join.ngram_jaccard_join(awkward, expand=True).collect()}
+    assert every == got
+    rows = {r.doc_id: (r.class_id, r.links) for r in ngram_join.near_copies(awkward).collect()}
+    assert rows == {1: (1, 1), 2: (1, 1), 7: (7, 1), 8: (7, 1)} | {i: (i, 0) for i in (3, 4, 5, 6, 9)}
+    assert ngram_join.near_copies(empty).count() == 0
     left = ngram_join.one_of_each(awkward)
     assert left.columns == awkward.columns
     assert sorted(r.doc_id for r in left.filter("doc_id is not null").collect()) == [1, 3, 4, 5, 6, 7, 9]
@@ -104,6 +109,67 @@ def test_join_hot_groups_of_short_texts(spark, count, words, last):
     assert len(want) > (0 if words == 4 else count) and got == want
 
 
+def links_of(texts, pairs):
+    """(smallest id of the group, links) of each text by brute force; pairs has all pairs."""
+    group, links = {i: i for i, _ in texts}, {i: 0 for i, _ in texts}
+
+    def find(i):
+        while group[i] != i:
+            i = group[i]
+        return i
+
+    for a, b in pairs:
+        links[a] += 1
+        links[b] += 1
+        a, b = sorted((find(a), find(b)))
+        group[b] = a
+    return {i: (find(i), links[i]) for i, _ in texts}
+
+
+def brute_all(texts, n=3, threshold=0.5):
+    sets = {i: frozenset(tuple(w[k : k + n]) for k in range(max(1, len(w) - n + 1))) for i, t in texts if (w := words(t or ""))}
+    return {(a, b) for a, s in sets.items() for b, t in sets.items() if a < b and len(s & t) >= threshold * len(s | t)}
+
+
+@pytest.mark.parametrize(("hot", "block", "tile"), [(64, 4096, 1 << 15), (4, 5, 7)])
+def test_links_with_copies_in_hot_groups(spark, hot, block, tile):
+    """Classes of copies, hot words in many blocks and split tiles: each document's class and links are those of brute force."""
+    rng = random.Random(8)
+    base = [f"t{i}" for i in range(40)]
+    texts = []
+    for i in range(45):
+        w = list(base)
+        w[rng.randrange(40)] = f"u{i % 30}"
+        texts += [(len(texts) + k, " ".join(w)) for k in range(rng.choice([1, 1, 1, 4]))]
+    texts += [(1000 + i, " ".join([*base[:3], *(f"x{i}y{k}" for k in range(20))])) for i in range(12)] + [(2000, ""), (2001, None)]
+    docs = spark.createDataFrame(rows(texts), SCHEMA)
+    got = {r.doc_id: (r.class_id, r.links) for r in ngram_join.near_copies(docs, hot=hot, block=block, tile_pairs=tile).collect()}
+    every = brute_all(texts)
+    assert got == links_of(texts, every) and len(every) > 1500
+    assert {(r.doc_a, r.doc_b) for r in ngram_join.ngram_jaccard_join(docs, hot=hot, block=block, expand=True).collect()} == every
+
+
+def test_hot_words_stream_over_batches():
+    """Groups that go on over batches, with repeated rows at the seams, are dealt out whole, in blocks, under one label."""
+    rng = np.random.default_rng(2)
+    key = np.sort(rng.choice([1, 2, 3, 4, 5], 400, p=[0.01, 0.5, 0.04, 0.4, 0.05]))
+    cls = rng.integers(0, 150, 400)
+    order = np.lexsort((cls, key))
+    key, cls = key[order], cls[order]
+    size = np.full(400, 10)
+    batches = [pa.RecordBatch.from_arrays([pa.array(key[i : i + 37]), pa.array(cls[i : i + 37]), pa.array(size[i : i + 37])], ["key", "cls", "size"]) for i in range(0, 400, 37)]
+    hot, pairs, groups = {}, set(), {k: sorted(set(cls[key == k].tolist())) for k in set(key.tolist())}
+    for b in ngram_join._meet(0.5, 20, 16)(iter(batches)):
+        for x, y, _, label, block in zip(*(c.to_pylist() for c in b.columns)):
+            if label is None:
+                pairs.add((x, y))
+            else:
+                hot.setdefault((x, label), []).append((y, block))
+    assert {k: [c for c, _ in v] for (k, _), v in hot.items()} == {k: g for k, g in groups.items() if len(g) > 20}
+    assert all(label == groups[k][0] and [b for _, b in v] == [i // 16 for i in range(len(v))] for (k, label), v in hot.items())
+    assert pairs == {(a, b) for g in groups.values() if len(g) <= 20 for a in g for b in g if a < b}
+
+
 def test_hot_pairs_are_compared_as_cold_ones():
     """Every pair within the threshold passes, over size bands, and no other than the sketches allow."""
     rng = np.random.default_rng(3)

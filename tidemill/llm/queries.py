@@ -54,7 +54,7 @@ def op7_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.ngram_jaccard_join(tables(spark, sf_dir, "documents"))
+    return ngram_join.near_copies(tables(spark, sf_dir, "documents"))
 
 
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,13 +78,17 @@ from (select *, row_number() over (partition by html order by page_id) r from pa
 select doc_id, text, lang, source, n_chars, sha256(text) digest
 from (select *, row_number() over (partition by text order by doc_id nulls last) r from documents) where r = 1 or text is null""",
     "op8_ngram_jaccard_join": f"""
-with w as (select doc_id, {_WORDS} w from documents where doc_id is not null and text is not null),
+with recursive w as (select doc_id, {_WORDS} w from documents where doc_id is not null and text is not null),
 s as (select doc_id, list_sort(list_distinct(case when len(w) < 3 then [array_to_string(w, ' ')]
       else list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) end)) g from w where len(w) > 0),
-c as (select min(doc_id) rep, g, len(g) n from s group by g),
-t as (select rep, n, unnest(g) x from c),
-p as (select a.rep a, b.rep b, a.n na, b.n nb, count(*) m from t a join t b on a.x = b.x and a.rep < b.rep group by all),
-r as (select a doc_a, b doc_b, m shared, na size_a, nb size_b from p where m / (na + nb - m) >= 0.5
-      union all select distinct c.rep, s.doc_id, c.n, c.n, c.n from s join c using (g) where s.doc_id <> c.rep)
-select doc_a, doc_b, shared::int shared, size_a::int size_a, size_b::int size_b, shared / (size_a + size_b - shared) jaccard from r""",
+c as (select min(doc_id) rep, count(distinct doc_id) n, g, len(g) m from s group by g),
+t as (select rep, n, m, unnest(g) x from c),
+p as (select a.rep a, b.rep b, a.n na, b.n nb from t a join t b on a.x = b.x and a.rep < b.rep group by a.rep, b.rep, a.n, b.n, a.m, b.m having count(*) / (a.m + b.m - count(*)) >= 0.5),
+e as (select a, b, nb from p union all select b, a, na from p),
+reach as (select distinct a, a b from e union select r.a, e.b from reach r join e on r.b = e.a),
+k as (select a, min(b) low from reach group by a),
+l as (select a, sum(nb) more from e group by a),
+r as (select s.doc_id, coalesce(low, rep) class_id, n - 1 + coalesce(more, 0) links from s join c using (g) left join k on k.a = rep left join l on l.a = rep
+      union all select doc_id, doc_id, 0 from documents where doc_id is not null and doc_id not in (select doc_id from s))
+select doc_id, min(class_id)::bigint class_id, sum(links)::bigint links from r group by doc_id""",
 }

@@ -12,10 +12,12 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, or one of our own where that is unset (tests on one machine)."""
+    """The folder in spark.checkpoint.dir; one of our own only where all runs on this machine (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = "file://" + tempfile.mkdtemp(prefix="tidemill-")
@@ -40,11 +42,19 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return back
 
 
-def discard(df: DataFrame) -> None:
-    """Delete a table that materialise() made, once no later plan reads it."""
-    path = getattr(df, "_tidemill_path", None)
-    if path:
-        remove(df.sparkSession, path)
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that materialise() made, once no later plan reads them."""
+    for df in tables:
+        path = getattr(df, "_tidemill_path", None)
+        if path:
+            remove(df.sparkSession, path)
+
+
+def small_batches(spark: SparkSession, size: int = 4 << 20) -> None:
+    """Bound Arrow batches by bytes, as texts vary widely, unless the session has a bound of its own; a text longer than that is a batch by itself."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key).rstrip("b") == str(64 << 20):
+        spark.conf.set(key, str(size))
 
 
 def remove(spark: SparkSession, path: str) -> None:

@@ -6,6 +6,8 @@ after lower-casing. Every pass walks whole texts; buffers are cut between docume
 
 from __future__ import annotations
 
+import ctypes
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -53,17 +55,28 @@ def chunks(texts: pa.Array | pa.ChunkedArray, size: int = CHUNK_BYTES) -> Iterat
     """(first row, slice) with about size bytes in each slice; nulls become empty texts."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
-    if not len(texts):
-        return
-    off = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(texts), 0)).astype(np.int64))
     a = 0
     while a < len(texts):
-        b = max(a + 1, int(np.searchsorted(off, off[a] + size, "right")) - 1)
-        yield a, texts.slice(a, b - a)
+        before = int(ends[a - 1]) if a else 0
+        b = max(a + 1, int(np.searchsorted(ends, before + size, "right")))
+        yield a, pc.fill_null(texts.slice(a, b - a).cast(pa.large_string()), "")
         a = b
 
 
+def tidied(run):
+    """run over batches, then hand freed memory back: Python workers stay alive between tasks, beside the next stage's."""
+
+    def tidy(batches):
+        yield from run(batches)
+        _powers["p"], _powers["i"] = _powers["p"][: CHUNK_BYTES << 1].copy(), _powers["i"][: CHUNK_BYTES << 1].copy()
+        pa.default_memory_pool().release_unused()
+        if sys.platform == "linux":
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return tidy
+
+
 def runs(raw: np.ndarray, off: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of maximal runs of bytes in table; no run crosses a document."""
     if not len(raw):
