@@ -376,6 +376,12 @@ def test_repair_leaves_no_frequent_pair():
         assert not left or max(sum(p == q for q in left) for p in set(left)) < 6
 
 
+def brute_vectors(x, threshold=0.95):
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    cos = unit @ unit.T
+    return {(int(a), int(b)) for a, b in zip(*np.where(cos >= threshold)) if a < b}
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(3)
     base = rng.normal(size=(1500, 64))
@@ -383,18 +389,39 @@ def test_embeddings(spark):
     near = base[:400] + rng.normal(size=(400, 64)) * rng.choice([0.01, 0.02, 0.03, 0.035], 400)[:, None]
     x = np.concatenate([base, near])
     data = [(i, [float(v) for v in r], 0) for i, r in enumerate(x)]
-    odd = [(None, data[0][1], 1), (9000, None, 1), (9001, [], 1), (9002, [0.0] * 64, 1), (9003, [float("nan")] * 64, 1), (9004, [1.0, 0.0], 1), (9005, [1.0, 0.0], 1), (5, data[5][1], 1)]
-    v = spark.createDataFrame(data + odd, "vec_id long, embedding array<double>, code int")
-    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-    cos = unit @ unit.T
-    want = {(int(a), int(b)) for a, b in zip(*np.where(cos >= 0.95)) if a < b}
+    odd = [(None, data[0][1], 1), (9000, None, 1), (9001, [], 1), (9002, [0.0] * 64, 1), (9003, [float("nan")] * 64, 1), (9004, [1.0, 0.0], 1), (9005, [1.0, 0.0], 1), (5, data[5][1], 1), (9006, [1.0, None], 1)]
+    v = spark.createDataFrame(data + odd, "vec_id long, embedding array<double>, class_id int")
+    want = brute_vectors(x)
     for bucket in (10_000, 200):
         rows = embedding_dups.near_duplicates(v, bucket_rows=bucket).collect()
         got = {(r.vec_a, r.vec_b) for r in rows}
         assert len(rows) == len(got) and (9004, 9005) in got
         got.discard((9004, 9005))
-        assert got <= want and len(got) >= 0.95 * len(want)
-    assert embedding_dups.near_duplicates(v.limit(0)).count() == 0
+        assert got <= want and len(got) >= 0.97 * len(want)
+    got = {r.vec_id: (r.class_id, r.links) for r in embedding_dups.near_copies(v).collect()}
+    assert len(got) == len(x) + 7 and got[9005] == (9004, 1) and all(got[i] == (i, 0) for i in (9000, 9001, 9002, 9003, 9006))
+    assert embedding_dups.near_copies(v.limit(0)).count() == 0 and embedding_dups.near_duplicates(v.limit(0)).count() == 0
+
+
+def test_tight_clusters_of_embeddings(spark):
+    """Groups of near copies beyond the bucket size, in blocks and split tiles, and many equal vectors: links of brute force at the recall that the plan states."""
+    rng = np.random.default_rng(4)
+    centre = rng.normal(size=(3, 64))
+    x = np.concatenate([c + rng.normal(size=(n, 64)) * s for c, n, s in zip(centre, (260, 150, 90), (0.05, 0.15, 0.17))] + [rng.normal(size=(200, 64)), np.repeat(rng.normal(size=(1, 64)), 120, 0)])
+    order = rng.permutation(len(x))
+    x = x[order]
+    want = brute_vectors(x, 0.95)
+    links, docs = np.zeros(len(x), int), spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    for a, b in want:
+        links[a] += 1
+        links[b] += 1
+    equal = order >= 700
+    for options in ({}, {"bucket_rows": 40, "tile_pairs": 50}):
+        got = sorted(embedding_dups.near_copies(docs, **options).collect())
+        assert [r.vec_id for r in got] == list(range(len(x)))
+        found = np.array([r.links for r in got])
+        assert (found <= links).all() and found.sum() >= 0.97 * links.sum() and (found[equal] == 119).all()
+        assert {r.class_id for r in got if equal[r.vec_id]} == {int(np.flatnonzero(equal)[0])}
 
 
 def naive_best(page):

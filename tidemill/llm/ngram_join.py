@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import store, text
+from . import store, text, tiles
 
 PARTS = 32
 BITS = 8  # 64-bit words of the bit sketch
@@ -282,26 +282,10 @@ def _verified(pairs: pa.Table, sets: pa.Table, threshold: float) -> Iterator[tup
 
 
 def _linked(threshold: float):
-    """(doc, root, links) of each class of a tile that has links: root is the smallest document that it hangs together with here."""
+    """(doc, root, links) of each class of a tile that has links."""
 
     def run(pairs: pa.Table, sets: pa.Table) -> pa.Table:
-        rep, n = sets.column("rep").to_pylist(), sets.column("n").to_pylist()
-        links, up = [0] * len(rep), list(range(len(rep)))
-
-        def find(i: int) -> int:
-            while up[i] != i:
-                up[i] = i = up[up[i]]
-            return i
-
-        for i, j, _ in _verified(pairs, sets, threshold):
-            links[i] += n[j]
-            links[j] += n[i]
-            i, j = find(i), find(j)
-            if i != j:
-                i, j = (i, j) if rep[i] <= rep[j] else (j, i)
-                up[j] = i
-        has = [i for i in range(len(rep)) if links[i]]
-        return pa.table({"doc": pa.array([rep[i] for i in has], pa.int64()), "root": pa.array([rep[find(i)] for i in has], pa.int64()), "links": pa.array([links[i] for i in has], pa.int64())})
+        return tiles.gathered(sets.column("rep").to_pylist(), sets.column("n").to_pylist(), ((i, j) for i, j, _ in _verified(pairs, sets, threshold)))
 
     return run
 
@@ -363,17 +347,9 @@ class _Join:
         pairs = store.materialise(cold.unionByName(again.mapInArrow(_meet_hot(threshold), "x long, y long")).distinct(), "pairs")
         store.discard(met, reps)
 
-        # Pairs that share a small neighbour are verified in one place, so that a set travels about once, not once a pair; a place with many pairs is split.
-        ends = pairs.select("x", "y").unionByName(pairs.select(F.col("y").alias("x"), F.col("x").alias("y")))
-        low = ends.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("low"))
-        near = pairs.join(low.select("x", F.col("low").alias("lx")), "x").join(low.select(F.col("x").alias("y"), F.col("low").alias("ly")), "y").select("x", "y", F.least("lx", "ly").alias("low"))
-        near = store.materialise(near, "near")
-        large = near.groupBy("low").count().filter(F.col("count") > tile_pairs).select("low", F.ceil(F.sqrt(F.col("count") / tile_pairs)).cast("int").alias("split"))
-        cut = F.coalesce(F.col("split"), F.lit(1))
-        tile = F.pmod(F.xxhash64("low", F.pmod(F.xxhash64("x"), cut), F.pmod(F.xxhash64("y"), cut)), F.lit(8 * parts))
-        self.placed = store.materialise(near.join(large, "low", "left").select("x", "y", tile.alias("tile")), "placed")
-        store.discard(pairs, near)
-        wanted = self.placed.select(F.col("x").alias("cls"), F.col("tile").alias("at")).unionByName(self.placed.select(F.col("y").alias("cls"), F.col("tile").alias("at"))).distinct()
+        self.placed = tiles.place(pairs, tile_pairs)
+        store.discard(pairs)
+        wanted = tiles.wanted(self.placed)
         wanted = wanted.join(self.classes.select("cls", "rep", "n"), "cls")
         asked = store.materialise(wanted.select(F.col("rep").alias("doc_id")).distinct(), "asked")
         few = asked.count() <= broadcast_rows
@@ -391,12 +367,7 @@ def near_copies(docs: DataFrame, n: int = 3, threshold: float = 0.5, sample: int
     Two documents link if the Jaccard similarity of their n-gram sets is >= threshold. See the module for the method.
     """
     join = _Join(docs, n, threshold, sample, hot, id_col, text_col, broadcast_rows, block, tile_pairs)
-    found = store.materialise(join.give(_linked, "doc long, root long, links long"), "linked")
-    groups = components(found, "doc", "root")
-    more = found.groupBy("doc").agg(F.sum("links").alias("more"))
-    rows = join.documents.join(join.classes.select("cls", "rep", "n"), "cls", "left")
-    rows = rows.join(more.withColumnRenamed("doc", "rep"), "rep", "left").join(groups.withColumnRenamed("id", "rep"), "rep", "left")
-    return rows.groupBy("doc_id").agg(F.min(F.coalesce("group", "rep", "doc_id")).alias("class_id"), F.sum(F.coalesce("n", F.lit(1)) - 1 + F.coalesce("more", F.lit(0))).alias("links"))
+    return tiles.classes(join.documents.select("doc_id", "cls"), join.classes, join.give(_linked, tiles.LINKED))
 
 
 def ngram_jaccard_join(docs: DataFrame, n: int = 3, threshold: float = 0.5, sample: int = 96, hot: int = 64, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 1_000_000, block: int = 4096, tile_pairs: int = 1 << 15, expand: bool = False) -> DataFrame:
@@ -420,30 +391,6 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 3, threshold: float = 0.5, samp
     return both.withColumn("jaccard", F.col("shared") / (F.col("size_a") + F.col("size_b") - F.col("shared")))
 
 
-def components(pairs: DataFrame, a: str = "doc_a", b: str = "doc_b", rounds: int = 60) -> DataFrame:
-    """(id, group): the smallest id each id is connected to, by alternating large-star and small-star steps.
-
-    Each round's edges are written to the shared folder; rounds grow with the logarithm of the longest chain.
-    """
-    edges = store.materialise(pairs.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct(), "edges")
-    before = None
-    for _ in range(rounds):
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.greatest("u", "m").alias("u"), F.least("u", "m").alias("v")), F.struct(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")))).alias("e")).select("e.u", "e.v").filter("u <> v").distinct()
-        new = store.materialise(small, "edges")
-        mark = tuple(new.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        store.discard(edges)
-        edges = new
-        if mark == before:
-            break
-        before = mark
-    low = edges.groupBy("u").agg(F.min("v").alias("group")).select(F.col("u").alias("id"), "group")
-    return low.unionByName(low.select(F.col("group").alias("id"), "group").distinct())
-
-
 def one_of_each(docs: DataFrame, n: int = 3, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 1_000_000) -> DataFrame:
     """docs without all but the smallest id of each group of near copies; rows with a null id or text stay."""
     name = store.free_name(docs, "__gone")

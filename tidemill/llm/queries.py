@@ -45,8 +45,7 @@ def op5_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_embedding_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = embedding_dups.near_duplicates(tables(spark, sf_dir, "embeddings"))
-    return found.select("vec_a", "vec_b", F.round("cosine", 6).alias("cosine"))
+    return embedding_dups.near_copies(tables(spark, sf_dir, "embeddings"))
 
 
 def op7_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,6 +76,15 @@ from (select *, row_number() over (partition by html order by page_id) r from pa
     "op3_exact_dedup": """
 select doc_id, text, lang, source, n_chars, sha256(text) digest
 from (select *, row_number() over (partition by text order by doc_id nulls last) r from documents) where r = 1 or text is null""",
+    "op6_embedding_near_dups": """
+with recursive u as (select vec_id i, list_transform(embedding, lambda x: x::double / sqrt(list_dot_product(embedding::double[], embedding::double[]))) v from embeddings
+      where list_dot_product(embedding::double[], embedding::double[]) > 0),
+p as (select a.i a, b.i b from u a join u b on a.i < b.i where list_dot_product(a.v, b.v) >= 0.95),
+e as (select a, b from p union all select b, a from p),
+reach as (select distinct a, a b from e union select r.a, e.b from reach r join e on r.b = e.a),
+k as (select a, min(b) low from reach group by a),
+l as (select a, count(*) n from e group by a)
+select vec_id, coalesce(low, vec_id) class_id, coalesce(n, 0)::bigint links from embeddings left join k on k.a = vec_id left join l on l.a = vec_id""",
     "op8_ngram_jaccard_join": f"""
 with recursive w as (select doc_id, {_WORDS} w from documents where doc_id is not null and text is not null),
 s as (select doc_id, list_sort(list_distinct(case when len(w) < 3 then [array_to_string(w, ' ')]
