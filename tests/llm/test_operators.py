@@ -204,16 +204,18 @@ def test_components(spark):
 
 def test_exact_dedup(spark, awkward, empty):
     index = exact_dedup.DigestIndex(spark, new_path(spark, "index"), 4)
-    kept = exact_dedup.exact_dedup(awkward, index)
+    kept = exact_dedup.exact_dedup(awkward, index, "one")
     assert kept.columns == awkward.columns
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == [(False, i) for i in (1, 3, 4, 5, 6, 7, 8, 9)] + [(True, 0)]
-    again = exact_dedup.exact_dedup(awkward.unionByName(spark.createDataFrame(rows([(50, "new"), (50, "new")]), SCHEMA)), index)
+    again = exact_dedup.exact_dedup(awkward.unionByName(spark.createDataFrame(rows([(50, "new"), (50, "new")]), SCHEMA)), index, "two")
     assert sorted((r.doc_id or 0, r.text) for r in again.collect()) == sorted([(50, "new"), (3, None), (0, None)], key=lambda x: (x[0], x[1] or ""))
-    assert exact_dedup.exact_dedup(empty, index).count() == 0
-    reopened = exact_dedup.DigestIndex(spark, index.path, 4)
-    assert reopened.read().count() == 8 and reopened.read().select("digest").distinct().count() == 8
+    assert exact_dedup.exact_dedup(empty, index, "three").count() == 0
+    reopened = exact_dedup.DigestIndex(spark, index.path, 9)
+    assert reopened.buckets == 4 and reopened.read().count() == 8 and reopened.read().select("digest").distinct().count() == 8
+    retried = exact_dedup.exact_dedup(awkward, reopened, "one")
+    assert sorted(str(r) for r in retried.collect()) == sorted(str(r) for r in kept.collect()) and reopened.read().count() == 8
     small = exact_dedup.DigestIndex(spark, new_path(spark, "index"), 4)
-    beyond = exact_dedup.exact_dedup(awkward, small, broadcast_rows=0)  # the join without broadcasts
+    beyond = exact_dedup.exact_dedup(awkward, small, "one", broadcast_rows=0)  # the join without broadcasts
     assert sorted(str(r) for r in beyond.collect()) == sorted(str(r) for r in kept.collect())
 
 
@@ -245,6 +247,73 @@ def test_quality(spark, awkward, empty):
     assert quality.scored(empty, labels).count() == 0
 
 
+def test_clashing_names(spark, awkward):
+    """Results keep the caller's columns of the same names, and their own output can be their input."""
+    labels = spark.createDataFrame([(1, 1, 1), (7, 0, 0), (9, 0, 1)], "doc_id long, quality int, toxic int")
+    mine = awkward.withColumn("quality_score", F.lit(-1.0)).withColumn("quality_keep", F.lit("mine"))
+    got = quality.scored(mine, labels)
+    assert got.columns == [*mine.columns, "_quality_score", "_quality_keep"] and {(r.quality_score, r.quality_keep) for r in got.collect()} == {(-1.0, "mine")}
+    assert quality.good(mine, labels).columns == mine.columns and quality.good(mine, labels).filter("quality_keep = 'mine'").count() == got.filter("_quality_keep").count()
+    domains = spark.createDataFrame([(1, "a"), (7, "b"), (9, "b")], "doc_id long, domain string")
+    once = mixing.mixed(awkward, domains, {"a": 1.0, "b": 2.0})
+    twice = mixing.mixed(once, domains, {"a": 2.0, "b": 1.0})
+    assert twice.columns == [*once.columns, "_mix_tokens", "_mix_posterior", "_mix_rate", "_mix_copies"] and twice.count() == once.count()
+    assert sorted((r.doc_id or 0, r.mix_copies) for r in twice.collect()) == sorted((r.doc_id or 0, r.mix_copies) for r in once.collect())
+    copies = sorted(r.doc_id or 0 for r in mixing.repeated(once, domains, {"a": 1.0, "b": 2.0}).collect())
+    assert copies == sorted(i for r in once.collect() for i in [r.doc_id or 0] * r.mix_copies)
+
+
+def test_quality_against_brute_force(spark):
+    """The fitted model is the ridge regression and the isotonic fit that plain formulas on all labelled rows give."""
+    rng = random.Random(12)
+    made = [(i, *junk(rng, i)) for i in range(400)]
+    made = [(i, y if rng.random() > 0.1 else 1 - y, t) for i, y, t in made]
+    docs = spark.createDataFrame(rows([(i, t) for i, _, t in made] + [(3, "another text of the same id, labelled with it")]), SCHEMA)
+    labels = spark.createDataFrame([(i, y) for i, y, _ in made], "doc_id long, quality int")
+    model = quality.fit(docs, labels, features=32, penalty=1e-2)
+    held = {r.doc_id: r.held for r in docs.select("doc_id", (F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(10)) < 3).alias("held")).collect()}
+    every = [*made, (3, made[3][1], "another text of the same id, labelled with it")]
+    stats = quality.statistics(pa.array([t for _, _, t in every], pa.large_string()))
+    y, out = np.array([y for _, y, _ in every], float), np.array([held[i] for i, _, _ in every])
+    x = np.clip((stats[:, :-1] - stats[:, :-1].mean(0)) / np.where(stats[:, :-1].std(0) > 1e-9, stats[:, :-1].std(0), 1), -8, 8)
+    z = np.column_stack([np.cos(x @ model.weights + model.phase) * np.sqrt(2 / 32), np.ones(len(x))])
+    lam = 1e-2 * (~out).sum() / 32
+    ridge = np.linalg.lstsq(np.vstack([z[~out], np.sqrt(lam) * np.eye(33)]), np.concatenate([y[~out], np.zeros(33)]), rcond=None)[0]
+    assert np.allclose(model.raw(stats), z @ ridge, atol=1e-6)
+    bins = np.clip(np.floor((z[out] @ ridge + 1) / 3 * 512), 0, 511)
+    edges = np.unique(bins)
+    sums, sizes = np.array([y[out][bins == b].sum() for b in edges]), np.array([(bins == b).sum() for b in edges])
+    fitted = [max(min(sums[a : b + 1].sum() / sizes[a : b + 1].sum() for b in range(k, len(edges))) for a in range(k + 1)) for k in range(len(edges))]
+    assert np.allclose(model.levels, fitted)
+    got = {r.text: r.quality_score for r in quality.scored(docs, labels, features=32, penalty=1e-2).collect()}
+    want = {t: s for (_, _, t), s in zip(every, model.score(stats))}
+    assert got == pytest.approx(want)
+
+
+def brute_rates(p, n, goal, rounds=20000):
+    """The least residual that nonnegative rates can reach, by plain projected gradient on every rate."""
+    a = p * n[:, None]
+    r, step = np.ones(len(a)), 1 / np.linalg.norm(a, 2) ** 2
+    for _ in range(rounds):
+        r = np.maximum(0, r - step * (a @ (r @ a - goal)))
+    return float(((r @ a - goal) ** 2).sum())
+
+
+@pytest.mark.parametrize("targets", [{"a": 2.0, "b": 1.0}, {"a": 1.0, "b": 0.0}, {"a": 9.0, "b": 1.0}])
+def test_mixing_against_brute_force(spark, targets):
+    """The residual is the least one, where targets can be met and where they can't."""
+    rng = random.Random(5)
+    vocabulary = {"a": [f"a{i}" for i in range(20)], "b": [f"b{i}" for i in range(20)]}
+    made = [(i, d := rng.choice("aab"), " ".join(rng.choice(vocabulary[d] if rng.random() < 0.7 else vocabulary["ab"[d == "a"]]) for _ in range(rng.randint(1, 12)))) for i in range(150)]
+    docs = spark.createDataFrame(rows([(i, t) for i, _, t in made]), SCHEMA)
+    labelled = spark.createDataFrame([(i, d) for i, d, _ in made], "doc_id long, domain string")
+    got = mixing.mixed(docs, labelled, targets).collect()
+    p, n, r = np.array([x.mix_posterior for x in got]), np.array([x.mix_tokens for x in got], float), np.array([x.mix_rate for x in got])
+    goal = np.array([targets["a"], targets["b"]]) / sum(targets.values()) * n.sum()
+    mine = float((((n * r) @ p - goal) ** 2).sum())
+    assert (r >= 0).all() and mine <= brute_rates(p, n, goal) + 5e-3 * float((goal**2).sum())
+
+
 def test_normal_equations_and_isotonic():
     assert quality.isotonic(np.array([0.1, 0.5, 0.3, 0.9]), np.array([1, 1, 3, 1])).tolist() == pytest.approx([0.1, 0.35, 0.35, 0.9])
     rng = np.random.default_rng(0)
@@ -308,13 +377,16 @@ def test_best_two_fit():
         assert sorted(k for b in got for k in b) == list(range(len(lengths))) and all(sum(lengths[k] for k in b) <= capacity for b in got)
 
 
-def test_packing(awkward, empty):
-    got = packing.pack(awkward, 2048, 5).collect()
+@pytest.mark.parametrize("tokenizer", [None, repair.TOKENIZER])
+def test_packing(awkward, empty, tokenizer):
+    coder = repair.encoding(open(repair.TOKENIZER, "rb").read())
+    count = (lambda t: len(words(t))) if tokenizer is None else lambda t: len(coder.encode_ordinary(t))
+    got = packing.pack(awkward, 2048, 5, tokenizer=tokenizer).collect()
     pieces = sorted((i is None, i or 0, s, n) for r in got for i, s, n in zip(r.doc_ids, r.starts, r.lengths))
-    size = [(r.doc_id, len(words(r.text or ""))) for r in awkward.collect()]
+    size = [(r.doc_id, count(r.text or "")) for r in awkward.collect()]
     assert sum(p[3] for p in pieces) == sum(n for _, n in size) == sum(r.used for r in got) and max(r.used for r in got) <= 2048
-    assert sorted(p[2] for p in pieces if p[1] == 7) == list(range(0, 60_000, 2048))
-    assert not {3, 4, 5} & {p[1] for p in pieces} and packing.pack(empty).count() == 0
+    assert sorted(p[2] for p in pieces if p[1] == 7) == list(range(0, dict(size)[7], 2048))
+    assert not {3, 4} & {p[1] for p in pieces} and (tokenizer is None) == (5 not in {p[1] for p in pieces}) and packing.pack(empty).count() == 0
 
 
 def test_warc(spark, tmp_path):

@@ -3,11 +3,11 @@
 import corpus_pipeline
 from pyspark.sql import functions as F
 
-from tidemill.llm import ngram_join, quality
+from tidemill.llm import ngram_join, quality, repair
 from tidemill.llm.queries import QUERIES
 from tidemill.llm.store import tables
 
-from .test_operators import brute_pairs, words
+from .test_operators import brute_pairs
 
 SF = "/root/testdata/sf0.001"
 
@@ -45,8 +45,9 @@ def test_stages(spark):
     mixed = corpus_pipeline.mixed_documents(spark, one, SF).cache()
     assert mixed.columns == columns and {r.doc_id for r in mixed.collect()} <= {r.doc_id for r in one.collect()}
 
+    coder = repair.encoding(open(repair.TOKENIZER, "rb").read())
     packed = corpus_pipeline.sequences(spark, mixed, SF).collect()
-    assert sum(r.used for r in packed) == sum(len(words(r.text)) for r in mixed.collect()) and max(r.used for r in packed) <= 2048
+    assert sum(r.used for r in packed) == sum(len(coder.encode_ordinary(r.text)) for r in mixed.collect()) and max(r.used for r in packed) <= 2048
 
 
 def test_run_and_registry(spark):
@@ -62,3 +63,19 @@ def test_recall_on_documents(spark):
     docs = tables(spark, SF, "documents")
     got = {(r.doc_a, r.doc_b) for r in ngram_join.ngram_jaccard_join(docs).collect()}
     assert got == brute_pairs([(r.doc_id, r.text) for r in docs.select("doc_id", F.col("text")).collect()])
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, quality_keep string, mix_copies int, digest string, class_id long, __gone long"
+
+
+def test_stages_on_awkward_tables(spark):
+    """Nulls, empty texts, repeated rows and clashing columns go through every stage; so does an empty table."""
+    some = [r.text for r in tables(spark, SF, "documents").limit(40).collect()]
+    rows = [(i, t, "en", None, 1, "mine", 7, "d", 5, 6) for i, t in [*enumerate(some), (0, some[0]), (None, "a text without an id"), (None, None), (900, None), (901, ""), (902, "!!! ...")]]
+    for docs in (spark.createDataFrame(rows, SCHEMA), spark.createDataFrame([], SCHEMA)):
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, docs, SF)
+            assert out.columns == docs.columns
+            docs = spark.createDataFrame(out.collect(), SCHEMA)
+            assert all(r.quality_keep == "mine" and r.mix_copies == 7 for r in docs.collect())
+        corpus_pipeline.sequences(spark, docs, SF).collect()

@@ -1,6 +1,6 @@
 """Near duplicates among embeddings by counting collisions of one-dimensional projections.
 
-Unit vectors are projected on `projections` random directions, in whole steps of an eighth of the half-width w. Two vectors collide in a projection if one lies in the window of half-width w
+Unit vectors are projected on `projections` random directions, in whole steps of a sixteenth of the half-width w. Two vectors collide in a projection if one lies in the window of half-width w
 centred on the other; w is the distance that belongs to the threshold. Pairs with at least `least` collisions are candidates; `least` is the largest count that a pair at the threshold
 reaches with probability sqrt(recall) (binomial). Within a bucket vectors are sorted by their first projection, and a query looks only at the stretch of it that holds all
 pairs of the threshold but one in two thousand. Candidates are verified by the cosine of the vectors themselves.
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from . import store, text, tiles
 
 SEED = 1992
-STEPS = 8
+STEPS = 16
 _U = np.uint64
 
 
@@ -226,13 +226,13 @@ class _Join:
         return self.placed.groupBy("tile").cogroup(self.vectors.groupBy("at")).applyInArrow(function(self.threshold), schema)
 
 
-def near_copies(vectors: DataFrame, threshold: float = 0.95, projections: int = 24, recall: float = 0.98, bucket_rows: int = 1024, id_col: str = "vec_id", vector_col: str = "embedding", broadcast_rows: int = 1_000_000, tile_pairs: int = 1 << 17) -> DataFrame:
+def near_copies(vectors: DataFrame, threshold: float = 0.95, projections: int = 40, recall: float = 0.98, bucket_rows: int = 1024, id_col: str = "vec_id", vector_col: str = "embedding", broadcast_rows: int = 1_000_000, tile_pairs: int = 1 << 17) -> DataFrame:
     """(id_col, class_id, links) of each vector: the smallest id of those it hangs together with by links, and how many others have a cosine >= threshold with it."""
     join = _Join(vectors, threshold, projections, recall, bucket_rows, id_col, vector_col, broadcast_rows, tile_pairs)
     return tiles.classes(join.documents, join.classes, join.give(_linked, tiles.LINKED)).withColumnRenamed("doc_id", id_col)
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.95, projections: int = 24, recall: float = 0.98, bucket_rows: int = 1024, id_col: str = "vec_id", vector_col: str = "embedding", broadcast_rows: int = 1_000_000, tile_pairs: int = 1 << 17) -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = 0.95, projections: int = 40, recall: float = 0.98, bucket_rows: int = 1024, id_col: str = "vec_id", vector_col: str = "embedding", broadcast_rows: int = 1_000_000, tile_pairs: int = 1 << 17) -> DataFrame:
     """Pairs (vec_a < vec_b, cosine) of cosine >= threshold between the representatives of classes, and of each other member of a class with its representative."""
     join = _Join(vectors, threshold, projections, recall, bucket_rows, id_col, vector_col, broadcast_rows, tile_pairs)
     same = join.documents.join(join.classes, "cls").filter("doc_id <> rep").select(F.col("rep").alias("vec_a"), F.col("doc_id").alias("vec_b"), F.lit(1.0).alias("cosine"))

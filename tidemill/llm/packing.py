@@ -1,10 +1,12 @@
 """Best-two-fit packing of documents into sequences of `capacity` tokens.
 
+Tokens are ids of the byte-level BPE whose vocabulary file is named by a parameter, so a sequence of 2048 fits a model with that vocabulary and context; tokenizer=None counts words in their place.
+
 A bin is filled greedily with the longest piece that fits. If a gap is left, its smallest piece gives way to the two unpacked
 pieces that together fill the gap and its place most, if they are longer than it. Longer texts are cut into full sequences and
 a rest, which is packed. Shards hold about shard_rows documents by the hash of their id, however many there are; only ids and lengths are shuffled.
 
-Defined results: rows without tokens (null, empty or wordless texts) are in no bin; repeated rows and null ids are packed like other rows;
+Defined results: rows without tokens (null or empty texts) are in no bin; repeated rows and null ids are packed like other rows;
 ties take the smallest id; other columns are ignored; an empty table gives no bins.
 """
 
@@ -17,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import text
+from . import repair, store, text
 
 
 def _pair(mask: int, count: dict[int, list], room: int, more_than: int) -> tuple[int, int] | None:
@@ -88,17 +90,27 @@ def _pack(capacity: int):
     return run
 
 
-def token_count(column: Column) -> Column:
+def token_count(column: Column, tokenizer: str | None = repair.TOKENIZER) -> Column:
+    """Tokens of each text, 0 for null; words where tokenizer is None. The driver reads the vocabulary, so executors need no file."""
+    vocabulary = None
+    if tokenizer is not None:
+        with open(tokenizer, "rb") as f:
+            vocabulary = f.read()
+
     @F.arrow_udf("long")
     def run(t: pa.Array) -> pa.Array:
-        return pa.array(text.word_counts(t))
+        if vocabulary is None:
+            return pa.array(text.word_counts(t))
+        coder = repair.encoding(vocabulary)
+        return pa.array([0 if x is None else len(coder.encode_ordinary(x)) for _, part in text.chunks(t) for x in part.to_pylist()], pa.int64())
 
     return run(column.cast("string"))
 
 
-def pack(docs: DataFrame, capacity: int = 2048, shard_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, capacity: int = 2048, shard_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = repair.TOKENIZER) -> DataFrame:
     """(shard, bin, doc_ids, starts, lengths, used): the pieces of each sequence, as token ranges of documents."""
+    store.small_batches(docs.sparkSession)
     shards = max(1, -(-docs.count() // shard_rows))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), token_count(docs[text_col]).alias("tokens"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), token_count(docs[text_col], tokenizer).alias("tokens"))
     shard = F.pmod(F.xxhash64("doc_id", "tokens"), F.lit(shards)).alias("shard")
     return rows.filter("tokens > 0").select("doc_id", "tokens", shard).groupBy("shard").applyInArrow(_pack(capacity), "shard long, bin long, doc_ids array<long>, starts array<long>, lengths array<long>, used long")

@@ -5,8 +5,8 @@ partitions; both the sums and the calibration bins have a fixed size, so what re
 At most max_labelled labelled documents are used (those whose ids have the smallest hashes); 3 of 10 of these calibrate.
 
 Defined results: a text that is null or has no words scores 0 and is rejected; with no labelled rows all scores are null
-and all rows are kept; with one class its value is each score; several labels of an id are averaged, null labels ignored; ties and
-repeated rows score alike; extra columns are kept; an empty table gives no rows.
+and all rows are kept; with one class its value is each score; several labels of an id are averaged, null labels ignored; an id with several texts is an example with each of them,
+repeated rows are one; ties and repeated rows score alike; extra columns are kept, and where docs has columns of the result's names, the new ones get underscores before theirs; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -128,7 +128,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", features: in
             flat = pa.array(s.ravel())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.ListArray.from_arrays(pa.array(np.arange(len(s) + 1, dtype=np.int32) * STATS), flat)], ["doc_id", "y", "s"])
 
-    seen = store.materialise(rows.mapInArrow(stats, "doc_id long, y double, s array<double>").dropDuplicates(["doc_id"]).withColumn("held", F.pmod(F.xxhash64(F.col("doc_id"), F.lit(7)), F.lit(10)) < 3).repartition(parts, "doc_id"), "labelled")
+    store.small_batches(docs.sparkSession)
+    seen = store.materialise(rows.mapInArrow(text.tidied(stats), "doc_id long, y double, s array<double>").distinct().withColumn("held", F.pmod(F.xxhash64(F.col("doc_id"), F.lit(7)), F.lit(10)) < 3).repartition(parts, "doc_id"), "labelled")
     k = STATS - 1
     first = seen.select(F.count("*"), F.min("y"), F.max("y"), *[f(F.col("s")[i]) for i in range(k) for f in (F.avg, F.stddev_pop)]).first()
     if not first[0]:
@@ -153,7 +154,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", features: in
             c += z.T @ y[~held]
         yield pa.RecordBatch.from_arrays([pa.array([np.column_stack([a, c]).tobytes()], pa.binary())], ["sums"])
 
-    total = sum(np.frombuffer(r.sums).reshape(features + 1, features + 2) for r in seen.mapInArrow(sums, "sums binary").toLocalIterator())
+    total = sum(np.frombuffer(r.sums).reshape(features + 1, features + 2) for r in seen.mapInArrow(text.tidied(sums), "sums binary").toLocalIterator())
     a = total[:, :-1]
     model.ridge = np.linalg.solve(a + penalty * max(a[-1, -1], 1) / features * np.eye(len(a)), total[:, -1])
 
@@ -171,6 +172,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", features: in
         model.levels = level
     else:
         model.edges, model.levels = (np.arange(1, bins)) / bins, np.arange(bins) / (bins - 1)
+    store.discard(seen, marks)
     return model
 
 
@@ -189,4 +191,10 @@ def score(model: Model | None, column: Column) -> Column:
 def scored(docs: DataFrame, labels: DataFrame, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """docs with quality_score and quality_keep (a score of at least `least`, or no model)."""
     model = fit(docs, labels, id_col=id_col, text_col=text_col, **options)
-    return docs.withColumn("quality_score", score(model, docs[text_col])).withColumn("quality_keep", F.coalesce(F.col("quality_score") >= least, F.lit(True)))
+    name, keep = store.free_name(docs, "quality_score"), store.free_name(docs, "quality_keep")
+    return docs.withColumn(name, score(model, docs[text_col])).withColumn(keep, F.coalesce(F.col(name) >= least, F.lit(True)))
+
+
+def good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+    """The rows of docs that scored() keeps, in their own columns."""
+    return (with_it := scored(docs, labels, **options)).filter(F.col(with_it.columns[-1])).select(*docs.columns)

@@ -30,9 +30,12 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """English documents are a first load, all others a second one, which must leave what the index has from the first."""
     docs = tables(spark, sf_dir, "documents")
     index = exact_dedup.DigestIndex(spark, new_path(spark, "digest-index"), partitions(spark))
-    return exact_dedup.exact_dedup(docs, index).withColumn("digest", F.sha2("text", 256))
+    first = F.coalesce(F.col("lang") == "en", F.lit(False))
+    loads = [exact_dedup.exact_dedup(docs.filter(part), index, name) for name, part in (("first", first), ("second", ~first))]
+    return loads[0].unionByName(loads[1]).withColumn("digest", F.sha2("text", 256))
 
 
 def op4_repair_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,7 +78,7 @@ select page_id, url, sha256(html) digest, strlen(html) bytes, html
 from (select *, row_number() over (partition by html order by page_id) r from pages where html is not null) where r = 1""",
     "op3_exact_dedup": """
 select doc_id, text, lang, source, n_chars, sha256(text) digest
-from (select *, row_number() over (partition by text order by doc_id nulls last) r from documents) where r = 1 or text is null""",
+from (select *, row_number() over (partition by text order by lang is distinct from 'en', doc_id nulls last) r from documents) where r = 1 or text is null""",
     "op6_embedding_near_dups": """
 with recursive u as (select vec_id i, list_transform(embedding, lambda x: x::double / sqrt(list_dot_product(embedding::double[], embedding::double[]))) v from embeddings
       where list_dot_product(embedding::double[], embedding::double[]) > 0),

@@ -57,10 +57,15 @@ def small_batches(spark: SparkSession, size: int = 4 << 20) -> None:
         spark.conf.set(key, str(size))
 
 
+def file_system(spark: SparkSession, path: str):
+    """Hadoop's file system of a path, and the path as its own."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
 def remove(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    fs, p = file_system(spark, path)
+    fs.delete(p, True)
 
 
 def partitions(spark: SparkSession) -> int:
