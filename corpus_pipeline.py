@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tidemill.llm import exact_dedup, mixing, ngram_join, packing, quality
 from tidemill.llm.queries import TARGETS, labelled_domains
@@ -11,29 +10,27 @@ from tidemill.llm.store import materialise, new_path, partitions, tables
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier doesn't reject."""
-    scored = quality.scored(docs, tables(spark, sf_dir, "labels"))
-    return scored.filter("quality_keep").select(*docs.columns)
+    """Documents that the quality classifier doesn't reject. Null and wordless texts go; repeated rows stay or go together; without labels all stay."""
+    return quality.good(docs, tables(spark, sf_dir, "labels"))
 
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each text."""
-    return exact_dedup.exact_dedup(docs, exact_dedup.DigestIndex(spark, new_path(spark, "digest-index"), partitions(spark)))
+    """The first document (smallest doc_id, nulls last) of each text. Null texts all stay; of repeated rows one stays."""
+    return exact_dedup.exact_dedup(docs, exact_dedup.DigestIndex(spark, new_path(spark, "digest-index"), partitions(spark)), "documents")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: that with the smallest doc_id."""
+    """One document of each group of near copies stays: that with the smallest doc_id. Rows without an id or words stay, and so do repeated rows of an id that stays."""
     return ngram_join.one_of_each(docs)
 
 
 def mixed_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as many times as its fitted rate gives it."""
-    rated = mixing.mixed(docs, labelled_domains(spark, docs, sf_dir), TARGETS)
-    return rated.filter("mix_copies > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies")))).select(*docs.columns)
+    """Each document as many times as its fitted rate gives it. Null and wordless texts go; repeated rows are drawn alike; without labels all rates are the same."""
+    return mixing.repeated(docs, labelled_domains(spark, docs, sf_dir), TARGETS)
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of 2048 tokens as pieces of documents."""
+    """Sequences of 2048 token ids as pieces of documents. Null and empty texts are in none; repeated rows and null ids are packed like others; ties take the smallest doc_id."""
     return packing.pack(docs)
 
 
