@@ -2,7 +2,8 @@
 
 A paragraph gives its parent 1 point, one for each comma and up to 3 for its length, and its grandparent half of that. Containers start from points for their
 tag and for what their class and id say, and their score is discounted by the share of their text that is in links. The best container is kept with those
-siblings that score at least a fifth of it, or are paragraphs that read like prose. Whole pages are walked, without recursion.
+siblings that score at least a fifth of it, or are paragraphs that read like prose. Whole pages are walked, without recursion, in time that grows with the page alone: lengths and commas are
+summed from the leaves up, and open elements are counted by name, so that no tag walks past elements that stay open.
 
 Defined results: null html gives null text and score; pages without a scored container give the text outside navigation, headers and footers, with score 0;
 empty pages give ''; of equal scores the first container in the page wins; unclosed and stray tags are repaired as browsers do for p, li, td, tr, dd, dt and option;
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|textarea|title|iframe)\b[^>]*>.*?(?:</\1\s*>|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|textarea|title|iframe)\b[^>]*(?:>.*?(?:</\1\s*>|\Z)|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
 _SAID = re.compile(r"\b(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 _BAD = re.compile(r"\bads?\b|advert|banner|breadcrumb|comment|cookie|footer|masthead|menu|\bnav|pager|popup|promo|related|share|sidebar|social|sponsor|subscribe|widget", re.I)
 _GOOD = re.compile(r"article|\bbody\b|content|entry|main|\bpage\b|post|story|text", re.I)
@@ -34,17 +35,33 @@ _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "kids", "said", "chars", "linked", "order")
+    """An element. stretch counts the open elements by name from the nearest fence on; fence is that fence. size, before and after describe the text below as if all space were collapsed."""
+
+    __slots__ = ("tag", "parent", "kids", "said", "order", "fence", "stretch", "chars", "linked", "size", "before", "after", "commas")
 
     def __init__(self, tag: str, parent: "Node | None", said: str, order: int):
         self.tag, self.parent, self.kids, self.said, self.order = tag, parent, [], said, order
-        self.chars = self.linked = 0
+        self.chars = self.linked = self.size = self.commas = 0
+        self.before = self.after = False
+        if parent is None or tag in _FENCE:
+            self.fence, self.stretch = self, {}
+        else:
+            self.fence, self.stretch = parent.fence, parent.stretch
 
 
 def tree(page: str) -> tuple[Node, list[Node]]:
     """The root and all nodes in page order; text is kept in kids as str."""
     root = at = Node("#root", None, "", 0)
-    nodes, last = [root], 0
+    nodes, last, open_ = [root], 0, {}
+
+    def leave(to: Node) -> None:
+        nonlocal at
+        while at is not to:
+            open_[at.tag] -= 1
+            if at.fence is not at:
+                at.stretch[at.tag] -= 1
+            at = at.parent
+
     for m in _TOKEN.finditer(page):
         if m.start() > last:
             at.kids.append(page[last : m.start()])
@@ -54,18 +71,26 @@ def tree(page: str) -> tuple[Node, list[Node]]:
             continue
         tag = tag.lower()
         if m[2]:
-            up = at
-            while up is not None and up.tag != tag:
-                up = up.parent
-            if up is not None and up.parent is not None:
-                at = up.parent
+            if open_.get(tag):
+                up = at
+                while up.tag != tag:
+                    up = up.parent
+                leave(up.parent)
             continue
         if ends := _CLOSES.get(tag):
             up = at
-            while up.parent is not None and (up.tag in ends or up.tag not in _FENCE):
+            while up.parent is not None:
                 if up.tag in ends:
-                    at = up.parent
-                up = up.parent
+                    leave(up.parent)
+                    up = at
+                elif up.tag in _FENCE:
+                    break
+                elif any(up.stretch.get(t) for t in ends):
+                    up = up.parent
+                elif up.fence.tag in ends:
+                    up = up.fence
+                else:
+                    break
         if tag == "br":
             at.kids.append("\n")
             continue
@@ -75,22 +100,42 @@ def tree(page: str) -> tuple[Node, list[Node]]:
         nodes.append(node)
         if tag not in _VOID and not said.endswith("/"):
             at = node
+            open_[tag] = open_.get(tag, 0) + 1
+            if node.fence is not node:
+                node.stretch[tag] = node.stretch.get(tag, 0) + 1
     if last < len(page):
         at.kids.append(page[last:])
     return root, nodes
 
 
 def _measure(nodes: list[Node]) -> None:
-    """Characters of text and of text in links below each node."""
-    for n in nodes:
-        n.chars = n.linked = 0
+    """From the leaves up: characters of text and of text in links, the length of the text with space collapsed and stripped, and commas."""
     for n in reversed(nodes):
-        n.chars += sum(len(_SPACE.sub(" ", k)) for k in n.kids if isinstance(k, str) and not k.isspace())
-        if n.tag == "a":
-            n.linked = n.chars
-        if n.parent is not None:
-            n.parent.chars += n.chars
-            n.parent.linked += n.linked
+        chars = linked = size = commas = 0
+        before, after = False, False  # whether space comes before the text, or at all, and after it
+        for k in n.kids:
+            if isinstance(k, str):
+                core = _SPACE.sub(" ", k)
+                blank = core == " "
+                a, b = core[0] == " ", core[-1] == " "
+                own = 0 if blank else len(core) - a - b
+                chars += 0 if blank else len(core)
+                commas += k.count(",")
+            else:
+                a, b, own = k.before, k.after, k.size
+                chars += k.chars
+                linked += k.linked
+                commas += k.commas
+            if not own:
+                after = after or a
+                before = before or (a and not size)
+            elif size:
+                size += own + (after or a)
+                after = b
+            else:
+                size, before, after = own, before or a, b
+        n.chars, n.size, n.commas, n.before, n.after = chars, size, commas, before, after
+        n.linked = chars if n.tag == "a" else linked
 
 
 def _points(n: Node) -> float:
@@ -118,10 +163,9 @@ def scores(nodes: list[Node]) -> dict[int, float]:
     for n in nodes:
         if n.tag not in _PARAGRAPH and not (n.tag == "div" and not any(isinstance(k, Node) and k.tag in _BLOCK for k in n.kids)):
             continue
-        text = _SPACE.sub(" ", _own(n)).strip()
-        if len(text) < 25:
+        if n.size < 25:
             continue
-        gain = 1 + text.count(",") + min(len(text) // 100, 3)
+        gain = 1 + n.commas + min(n.size // 100, 3)
         up, part = n.parent, 1.0
         for _ in range(2):
             if up is None or up.parent is None:
