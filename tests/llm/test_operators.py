@@ -448,6 +448,59 @@ def test_repair_leaves_no_frequent_pair():
         assert not left or max(sum(p == q for q in left) for p in set(left)) < 6
 
 
+def plain_repair(docs, first, min_count):
+    """Re-Pair one pair at a time, the most frequent first, by lists; (symbols, rules)."""
+    rules = 0
+    while True:
+        count = {}
+        for d in docs:
+            last = None
+            for k, p in enumerate(zip(d, d[1:])):
+                if last != (p, k - 1):  # overlapping places of a run count every other time
+                    count[p] = count.get(p, 0) + 1
+                    last = (p, k)
+                else:
+                    last = None
+        if not count or max(count.values()) < min_count:
+            return sum(map(len, docs)), rules
+        best, out = min(count, key=lambda p: (-count[p], p)), []
+        for d in docs:
+            new, k = [], 0
+            while k < len(d):
+                if tuple(d[k : k + 2]) == best:
+                    new.append(first + rules)
+                    k += 2
+                else:
+                    new.append(d[k])
+                    k += 1
+            out.append(new)
+        docs, rules = out, rules + 1
+
+
+def test_repair_is_as_small_as_plain_repair():
+    """Rounds of many pairs give grammars about as small as one pair at a time does, and no rule is used once in the text alone."""
+    rng = np.random.default_rng(6)
+    phrases = [rng.integers(0, 40, rng.integers(2, 12)) for _ in range(60)]
+    for few in (60, 15):
+        docs = [np.concatenate([phrases[min(few - 1, int(rng.exponential(few / 4)))] for _ in range(rng.integers(5, 60))]) for _ in range(60)]
+        at = np.concatenate([[0], np.cumsum([len(d) for d in docs])])
+        out, place, rules = repair.compress(np.concatenate(docs), at, 100, 6)
+        symbols, plain = plain_repair([d.tolist() for d in docs], 100, 6)
+        assert len(out) + 2 * len(rules) <= 1.05 * (symbols + 2 * plain)
+        size = repair.expansion_lengths(rules, 100).astype("<i4").tobytes()
+        assert all(repair.decode(out[a:b].astype("<i4").tobytes(), rules.astype("<i4").tobytes(), size, 100) == d.tolist() for a, b, d in zip(place, place[1:], docs))
+        used = np.bincount(np.concatenate([out, rules.ravel()]), minlength=100 + len(rules))[100:]
+        text_once = set(out[np.isin(out, np.flatnonzero(used == 1) + 100)].tolist())
+        assert not text_once
+
+
+def test_repair_ties_take_the_smaller_pair():
+    """Of equally frequent overlapping pairs the smaller pair of ids is replaced."""
+    s = np.array([1, 2, 3] * 10)
+    out, _, rules = repair.compress(s, np.array([0, *range(3, 31, 3)]), 100, 6)
+    assert rules[0].tolist() == [1, 2]
+
+
 def brute_vectors(x, threshold=0.95):
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
     cos = unit @ unit.T

@@ -1,8 +1,9 @@
 """Token ids as binary shards, compressed by Re-Pair grammars.
 
 Documents are tokenised with a byte-level BPE whose vocabulary file is named by a parameter. Within a shard (about shard_bytes of text) frequent
-pairs of neighbouring ids are replaced by nonterminals again and again, until no pair is found min_count times; each round replaces up to `per_round` of the most
-frequent pairs, and where two of them overlap the more frequent one, then the left one, wins. Pairs never cross documents. A shard's rules and their expansion lengths are
+pairs of neighbouring ids are replaced by nonterminals again and again, until no pair is found min_count times. A round replaces all pairs that are found at least `ratio` times as often as
+the most frequent one, so that hundreds of rounds do what a round for each pair would; where two of them overlap the more frequent one (of equal ones the smaller pair of ids), then the left one, wins. At the end
+rules that are used once in the text are taken back. Pairs never cross documents. A shard's rules and their expansion lengths are
 stored beside its documents, so that any range of tokens is decoded by walking only the symbols that cover it.
 
 Rows: kind 'rules' (symbols: int32 left, right of each rule; lengths: int32) and kind 'doc' (symbols: int32; n_tokens). Nonterminal k is vocabulary + k.
@@ -38,34 +39,47 @@ def encoding(vocabulary: bytes, pattern: str = PATTERN):
     return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
-def compress(s: np.ndarray, at: np.ndarray, first: int, min_count: int = 8, per_round: int = 1 << 16) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+_SLOTS = 18  # bits of a pair's place in the table of counts
+
+
+def _place(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    h = left.astype(np.uint32) * np.uint32(0x9E3779B1)
+    h ^= right.astype(np.uint32) * np.uint32(0x85EBCA77)
+    h *= np.uint32(0xC2B2AE3D)
+    return h >> np.uint32(32 - _SLOTS)
+
+
+def compress(s: np.ndarray, at: np.ndarray, first: int, min_count: int = 8, ratio: float = 0.3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, each document's first, rules as rows of left and right) of token ids s; nonterminals start at `first`."""
-    s = s.astype(np.int64)
+    s = s.astype(np.int32)
     sizes = np.diff(at)
     link = np.ones(len(s), bool)  # whether the next id is of the same document
     link[at[1:][sizes > 0] - 1] = False
-    rules = np.zeros((0, 2), np.int64)
-    slots, odd = np.uint64(44), np.uint64(0x9E3779B97F4A7C15)
+    rules, many = [np.zeros((0, 2), np.int64)], 0
     while len(s) > 1:
-        key = s[:-1] << 32
-        key |= s[1:]
-        h = (key.view(np.uint64) * odd >> slots).view(np.int64)
-        h[~link[:-1]] = 1 << 20
-        seen = np.bincount(h, minlength=(1 << 20) + 1)
+        h = _place(s[:-1], s[1:])
+        h[~link[:-1]] = 1 << _SLOTS
+        seen = np.bincount(h, minlength=(1 << _SLOTS) + 1)
         seen[-1] = 0
-        at_pair = np.flatnonzero((seen >= min_count)[h])  # all that follows looks at pairs that may be frequent alone
-        key, h = key[at_pair], h[at_pair]
-        found, count = np.unique(key, return_counts=True)
-        found, count = found[count >= min_count], count[count >= min_count]
+        least = max(min_count, int(seen.max() * ratio))
+        while True:
+            at_pair = np.flatnonzero((seen >= least)[h])  # all that follows looks at pairs that may be frequent alone
+            key = s[at_pair].astype(np.int64) << 32
+            key |= s[at_pair + 1]
+            found, count = np.unique(key, return_counts=True)
+            found, count = found[count >= least], count[count >= least]
+            if len(found) or least == min_count:
+                break
+            least = max(min_count, int(least * ratio))  # a place in the table was shared
         if not len(found):
             break
-        best = np.lexsort((found, -count))[:per_round]
-        found = found[best]
-        slot = (found.view(np.uint64) * odd >> slots).view(np.int64)
-        table = np.full(1 << 20, -1, np.int32)
+        found = found[np.lexsort((found, -count))]
+        slot = _place(found >> 32, found & 0xFFFFFFFF)
+        table = np.full((1 << _SLOTS) + 1, -1, np.int32)
         table[slot[::-1]] = np.arange(len(found), dtype=np.int32)[::-1]  # of two pairs in a slot the commoner is done now
-        rank = table[h]
-        real = (rank >= 0) & (found[rank] == key)
+        rank = table[h[at_pair]]
+        real = np.flatnonzero(rank >= 0)
+        real = real[found[rank[real]] == key[real]]
         at_pair, rank = at_pair[real], rank[real]
         near = at_pair[1:] - at_pair[:-1] == 1
         left, right = np.full(len(rank), len(found)), np.full(len(rank), len(found))
@@ -74,18 +88,42 @@ def compress(s: np.ndarray, at: np.ndarray, first: int, min_count: int = 8, per_
         start = np.maximum.accumulate(np.where(rank == left, 0, place))  # of a run of one pair: every other place is taken
         take = (rank[start] < left[start]) & (rank <= right) & ((place - start) % 2 == 0)
         hit, rank = at_pair[take], rank[take]
-        used = np.bincount(rank, minlength=len(found))
-        name = np.cumsum(used > 0) - 1
-        s[hit] = first + len(rules) + name[rank]
+        used = np.bincount(rank, minlength=len(found)) > 0
+        s[hit] = first + many + (np.cumsum(used) - 1)[rank]
         link[hit] = link[hit + 1]
-        made = found[used > 0]
-        rules = np.concatenate([rules, np.column_stack([made >> 32, made & 0xFFFFFFFF])])
+        rules.append(np.column_stack([found[used] >> 32, found[used] & 0xFFFFFFFF]))
+        many += len(rules[-1])
         keep = np.ones(len(s), bool)
         keep[hit + 1] = False
         s, link = s[keep], link[keep]
+    s, link, made = _pruned(s.astype(np.int64), link, np.concatenate(rules), first)
     left_in = np.zeros(len(sizes), np.int64)
     left_in[sizes > 0] = np.diff(np.concatenate([[-1], np.flatnonzero(~link)]))
-    return s, np.concatenate([[0], np.cumsum(left_in)]), rules
+    return s, np.concatenate([[0], np.cumsum(left_in)]), made
+
+
+def _pruned(s: np.ndarray, link: np.ndarray, rules: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same without rules that are used once, where that one use is in the text or in another such rule."""
+    sides = rules.ravel() - first
+    used = np.bincount(s[s >= first] - first, minlength=len(rules)) + np.bincount(sides[sides >= 0], minlength=len(rules))
+    user = np.full(len(rules), -1)
+    user[sides[sides >= 0]] = np.flatnonzero(sides >= 0) // 2
+    gone = np.zeros(len(rules), bool)
+    for k in np.flatnonzero(used == 1)[::-1].tolist():  # a rule's users come after it
+        gone[k] = user[k] < 0 or gone[user[k]]
+    while len(hit := np.flatnonzero((s >= first) & np.concatenate([gone, [False]])[np.where(s >= first, s - first, -1)])):
+        pair = rules[s[hit] - first]
+        size = np.ones(len(s), np.int64)
+        size[hit] = 2
+        to = np.cumsum(size) - size
+        out, joined = np.repeat(s, size), np.repeat(link, size)
+        out[to[hit]], out[to[hit] + 1], joined[to[hit]] = pair[:, 0], pair[:, 1], True
+        s, link = out, joined
+    name = first + np.cumsum(~gone) - 1
+    s[s >= first] = name[s[s >= first] - first]
+    rules = rules[~gone]
+    rules[rules >= first] = name[rules[rules >= first] - first]
+    return s, link, rules
 
 
 def expansion_lengths(rules: np.ndarray, first: int) -> np.ndarray:
@@ -153,4 +191,4 @@ def token_shards(docs: DataFrame, tokenizer: str = TOKENIZER, pattern: str = PAT
                 )
                 shard += 1
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(text.tidied(run), SCHEMA)
