@@ -16,7 +16,7 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import repair, store, text
@@ -90,27 +90,29 @@ def _pack(capacity: int):
     return run
 
 
-def token_count(column: Column, tokenizer: str | None = repair.TOKENIZER) -> Column:
-    """Tokens of each text, 0 for null; words where tokenizer is None. The driver reads the vocabulary, so executors need no file."""
+def token_counts(docs: DataFrame, id_col: str, text_col: str, tokenizer: str | None) -> DataFrame:
+    """(doc_id, tokens) of each row, 0 for null; words where tokenizer is None. The driver reads the vocabulary, so executors need no file."""
     vocabulary = None
     if tokenizer is not None:
         with open(tokenizer, "rb") as f:
             vocabulary = f.read()
 
-    @F.arrow_udf("long")
-    def run(t: pa.Array) -> pa.Array:
-        if vocabulary is None:
-            return pa.array(text.word_counts(t))
-        coder = repair.encoding(vocabulary)
-        return pa.array([0 if x is None else len(coder.encode_ordinary(x)) for _, part in text.chunks(t) for x in part.to_pylist()], pa.int64())
+    def run(batches):
+        coder = None if vocabulary is None else repair.encoding(vocabulary)
+        for b in batches:
+            if coder is None:
+                n = text.word_counts(b.column(1))
+            else:
+                n = [len(coder.encode_ordinary(t)) for _, part in text.chunks(b.column(1)) for t in part.to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64())], ["doc_id", "tokens"])
 
-    return run(column.cast("string"))
+    store.small_batches(docs.sparkSession)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(text.tidied(run), "doc_id long, tokens long")
 
 
 def pack(docs: DataFrame, capacity: int = 2048, shard_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = repair.TOKENIZER) -> DataFrame:
     """(shard, bin, doc_ids, starts, lengths, used): the pieces of each sequence, as token ranges of documents."""
-    store.small_batches(docs.sparkSession)
     shards = max(1, -(-docs.count() // shard_rows))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), token_count(docs[text_col], tokenizer).alias("tokens"))
+    rows = token_counts(docs, id_col, text_col, tokenizer)
     shard = F.pmod(F.xxhash64("doc_id", "tokens"), F.lit(shards)).alias("shard")
     return rows.filter("tokens > 0").select("doc_id", "tokens", shard).groupBy("shard").applyInArrow(_pack(capacity), "shard long, bin long, doc_ids array<long>, starts array<long>, lengths array<long>, used long")

@@ -15,7 +15,6 @@ ignored; an empty table gives no rows; special tokens' strings are ordinary text
 from __future__ import annotations
 
 import base64
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,9 +29,7 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 SCHEMA = "shard long, kind string, doc_id long, n_tokens long, symbols binary, lengths binary"
 
 
-@lru_cache(maxsize=1)
 def encoding(vocabulary: bytes, pattern: str = PATTERN):
-    """The encoder, made once in a worker."""
     import tiktoken
 
     ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in vocabulary.splitlines() if line)}

@@ -69,7 +69,7 @@ def tidied(run):
 
     def tidy(batches):
         yield from run(batches)
-        _powers["p"], _powers["i"] = _powers["p"][: CHUNK_BYTES << 1].copy(), _powers["i"][: CHUNK_BYTES << 1].copy()
+        _powers["p"] = _powers["i"] = np.ones(1, _U)
         pa.default_memory_pool().release_unused()
         if sys.platform == "linux":
             ctypes.CDLL(None).malloc_trim(0)
