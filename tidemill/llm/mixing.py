@@ -186,7 +186,7 @@ def columns(mixer: Mixer, column: Column) -> Column:
         k = len(mixer.domains)
         return pa.StructArray.from_arrays([pa.array(n), pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * k), pa.array(p.ravel())), pa.array(rate)], ["tokens", "posterior", "rate"])
 
-    return run(column.cast("string"))
+    return run.asNondeterministic()(column.cast("string"))  # or a filter on the copies would make the plan run it twice
 
 
 def copies(rate: Column, key: Column, seed: int = 1992) -> Column:
