@@ -4,13 +4,18 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new place in the folder of spark.checkpoint.dir, or below the warehouse where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    """A new place in the folder of spark.checkpoint.dir, or below the warehouse where that is unset and all runs on this machine (tests)."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        base = spark.conf.get("spark.sql.warehouse.dir")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -26,17 +31,30 @@ def shingles(docs: DataFrame, id_col: str, n: int) -> DataFrame:
     return words.select("id", "w", F.explode(F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1)))).alias("i")).select("id", F.array_join(F.slice("w", F.col("i"), n), " ").alias("g"))
 
 
+MERSENNE = (1 << 31) - 1
+
+
+def permutations(count: int, seed: int = 1) -> list[tuple[int, int]]:
+    """Multipliers and addends of hash functions x -> (a x + b) mod MERSENNE, by a fixed linear congruential sequence."""
+    out, x = [], seed
+    for _ in range(2 * count):
+        x = (x * 6364136223846793005 + 1442695040888963407) % (1 << 64)
+        out.append((x >> 33) % (MERSENNE - 1) + 1)
+    return list(zip(out[::2], out[1::2]))
+
+
 def band_keys(docs: DataFrame, id_col: str, n: int, bands: int, rows: int) -> DataFrame:
-    """(id, key): for each band the smallest seeded hashes of a document's grams, as partial minima beside the scan."""
-    least = shingles(docs, id_col, n).groupBy("id").agg(*[F.min(F.md5(F.concat(F.lit(f"{s}_"), "g"))).alias(f"h{s}") for s in range(bands * rows)])
-    return least.select("id", F.explode(F.array(*[F.concat(F.lit(f"{b}:"), *[F.col(f"h{b * rows + r}") for r in range(rows)]) for b in range(bands)])).alias("key"))
+    """(id, key): for each band the least values of its hash functions over a document's grams, as partial minima beside the scan. A gram is hashed once."""
+    hashed = shingles(docs, id_col, n).select("id", F.conv(F.substring(F.md5("g"), 1, 7), 16, 10).cast("long").alias("x"))
+    least = hashed.groupBy("id").agg(*[F.min((F.col("x") * a + b) % MERSENNE).alias(f"h{k}") for k, (a, b) in enumerate(permutations(bands * rows))])
+    return least.select("id", F.explode(F.array(*[F.concat_ws("-", F.lit(str(b)), *[F.col(f"h{b * rows + r}") for r in range(rows)]) for b in range(bands)])).alias("key"))
 
 
-def minhash_pairs(docs: DataFrame, id_col: str = "doc_id", n: int = 5, bands: int = 4, rows: int = 2) -> DataFrame:
+def minhash_pairs(docs: DataFrame, id_col: str = "doc_id", n: int = 5, bands: int = 14, rows: int = 8) -> DataFrame:
     """Edges (a, b) that connect all documents sharing a band key: each bucket is tied to its smallest id, so a bucket of k gives k - 1 edges."""
-    keys = band_keys(docs, id_col, n, bands, rows)
-    low = F.min("id").over(Window.partitionBy("key"))
-    return keys.withColumn("a", low).filter("id <> a").select("a", F.col("id").alias("b")).distinct()
+    keys = written(band_keys(docs, id_col, n, bands, rows), "bands")
+    low = keys.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("n")).filter("n > 1")
+    return keys.join(low, "key").filter("id <> a").select("a", F.col("id").alias("b")).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -60,17 +78,30 @@ def keep_flag(removed: Column, source: Column, always: set[str]) -> Column:
     return ~F.coalesce(removed, F.lit(False)) | source.isin(*always)
 
 
-def span_dedup(docs: DataFrame, span: int = 3, id_col: str = "doc_id", text_col: str = "text", split: str = "\n", most: int = 10_000) -> DataFrame:
-    """Sentences that lie in a span of `span` seen before, in an earlier document or place, are cut; the rest is joined again.
+def _without(text: str, places: list[int], span: int, split: str) -> tuple[str, int]:
+    parts, gone = text.split(split), set()
+    for p in places:
+        gone.update(range(p, p + span))
+    return split.join(x for k, x in enumerate(parts) if k not in gone), len(gone)
+
+
+def span_dedup(docs: DataFrame, span: int = 3, id_col: str = "doc_id", text_col: str = "text", split: str = "\n", most: int | None = None) -> DataFrame:
+    """(id_col, text_col, n_cut): sentences that lie in a span of `span` seen before, in an earlier document or place, are cut; the rest is joined again.
 
-    Documents of `most` sentences or more are left out of the result, as the reference has it.
+    Hashes of spans are shuffled, not sentences; of repeated ones the first is found by a grouped minimum. With `most`, documents of that many sentences or more are left out, as the reference has it.
     """
-    s = docs.select(id_col, F.posexplode(F.split(text_col, split, -1)).alias("pos", "s"), F.size(F.split(text_col, split, -1)).alias("n")).filter(F.col("n") < most)
-    own = Window.partitionBy(id_col).orderBy("pos")
-    window = F.concat_ws("\x1f", *[F.lead("s", k).over(own) for k in range(span)])
-    spans = s.withColumn("h", F.when(F.col("pos") + span <= F.col("n"), F.md5(window)))
-    seen = F.row_number().over(Window.partitionBy("h").orderBy(id_col, "pos"))
-    again = spans.withColumn("again", F.col("h").isNotNull() & (seen > 1))
-    hit = F.max(F.col("again").cast("int")).over(own.rowsBetween(-(span - 1), 0))
-    kept = again.withColumn("cut", hit).groupBy(id_col).agg(F.sort_array(F.collect_list(F.when(F.col("cut") == 0, F.struct("pos", "s")))).alias("left"), F.sum("cut").alias("n_cut"))
-    return kept.select(id_col, F.array_join(F.transform("left", lambda x: x["s"]), split).alias(text_col), "n_cut")
+    parts = F.split(text_col, split, -1)
+    rows = docs.filter(F.size(parts) < most) if most else docs
+    at = F.sequence(F.lit(0), F.size("p") - span)
+    spans = rows.select(id_col, parts.alias("p")).filter(F.size("p") >= span).select(id_col, F.explode(F.transform(at, lambda i: F.struct(i.alias("pos"), F.unhex(F.md5(F.concat_ws("\x1f", *[F.get("p", i + k) for k in range(span)]))).alias("h")))).alias("s")).select(id_col, "s.pos", "s.h")
+    spans = written(spans, "spans")
+    first = spans.groupBy("h").agg(F.min(F.struct(id_col, "pos")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("h", "first")
+    again = spans.join(first, "h").filter(F.struct(id_col, "pos") != F.col("first")).groupBy(id_col).agg(F.collect_list("pos").alias("places"))
+
+    @F.arrow_udf("text string, n_cut long")
+    def cut(texts: pa.Array, places: pa.Array) -> pa.Array:
+        got = [(t, None if t is None else 0) if t is None or not p else _without(t, p, span, split) for t, p in zip(texts.to_pylist(), places.to_pylist())]
+        return pa.StructArray.from_arrays([pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.int64())], ["text", "n_cut"])
+
+    done = rows.select(id_col, text_col).join(again, id_col, "left").select(id_col, cut(F.col(text_col), F.col("places")).alias("c"))
+    return done.select(id_col, F.col("c.text").alias(text_col), "c.n_cut")

@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from collections import Counter
-
-import pyarrow as pa
-import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions import words
 
 LINE_BREAK = "[\\n\\r\\x0B\\x0C\\x1C-\\x1E\\x85\\u2028\\u2029]"
 STOP_WORDS = ("the", "be", "to", "of", "and", "that", "have", "with")
@@ -44,45 +41,9 @@ def line_repetition(c: Column) -> dict[str, Column]:
     return out
 
 
-_WORD = regex.compile(r"[\p{L}\p{M}\p{N}_]+|[^\p{L}\p{M}\p{N}_\s]")
-
-
-def top_gram_chars(words: list[str], n: int) -> int:
-    """Characters of all occurrences of the commonest n-gram; the first seen of equally common ones."""
-    grams = Counter(" ".join(words[i : i + n]) for i in range(len(words) - n + 1))
-    if not grams:
-        return 0
-    gram, count = grams.most_common(1)[0]
-    return len(gram) * count
-
-
-def greedy_repeat_chars(words: list[str], n: int) -> int:
-    """Characters in n-grams seen before, scanning left to right and jumping over each hit."""
-    seen, chars, i = set(), 0, 0
-    while i + n <= len(words):
-        gram = "".join(words[i : i + n])
-        if gram in seen:
-            chars += len(gram)
-            i += n
-        else:
-            seen.add(gram)
-            i += 1
-    return chars
-
-
 def gram_repetition(c: Column) -> Column:
     """An array of shares of the text: the commonest 2-, 3- and 4-gram, then repeated 5- to 10-grams."""
-
-    @F.arrow_udf("array<double>")
-    def run(texts: pa.Array) -> pa.Array:
-        out = []
-        for t in texts.to_pylist():
-            words = _WORD.findall(t or "")
-            size = max(len(t or ""), 1)
-            out.append([top_gram_chars(words, n) / size for n in TOP] + [greedy_repeat_chars(words, n) / size for n in DUPLICATE])
-        return pa.array(out, pa.list_(pa.float64()))
-
-    return run(c)
+    return words.repetition_shares(tuple(TOP), tuple(DUPLICATE))(c)
 
 
 def repetition_reason(df: DataFrame, text: str = "text") -> DataFrame:
@@ -96,12 +57,15 @@ def repetition_reason(df: DataFrame, text: str = "text") -> DataFrame:
     return with_reason(df.withColumn("__grams", gram_repetition(F.col(text))), ("empty", F.coalesce(F.length(text), F.lit(0)) == 0), *rules).drop("__grams")
 
 
-def quality_rules(c: Column, least: int = 50, most: int | None = None, hashes: float | None = None) -> list[tuple[str, Column]]:
-    """The ordered quality rules; limits that are None are off, as the reference has them in production."""
-    words = T.words_and_marks(c)
-    plain = F.filter(words, lambda w: ~w.rlike(r"^\p{Punct}$"))
-    n = F.size(plain)
-    mean = F.try_divide(F.aggregate(plain, F.lit(0), lambda s, w: s + F.length(w)), n)
+def word_stats(c: Column) -> Column:
+    """What quality_rules looks at: counted in one pass over a batch, so give it a column of its own."""
+    return words.word_stats(STOP_WORDS)(c)
+
+
+def quality_rules(c: Column, stats: Column, least: int = 50, most: int | None = None, hashes: float | None = None) -> list[tuple[str, Column]]:
+    """The ordered quality rules for a text and its word_stats; limits that are None are off, as the reference has them in production. Single ASCII marks are no words."""
+    n = stats["n"]
+    mean = F.try_divide(stats["chars"], n)
     lines = F.split(c, LINE_BREAK, -1)
     share = lambda rule: F.try_divide(F.size(F.filter(lines, rule)), F.size(lines))
     rules = [("short", n < least)]
@@ -114,15 +78,20 @@ def quality_rules(c: Column, least: int = 50, most: int | None = None, hashes: f
     return rules + [
         ("bullets", share(lambda x: x.rlike(r"(?U)^\s*[•-]")) > 0.9),
         ("ellipsis_ends", share(lambda x: x.rlike(r"(?U)(?:\.\.\.|…)\s*$")) > 0.3),
-        ("few_letters", F.size(F.filter(words, lambda w: w.rlike(r"\p{L}"))) / n < 0.8),
-        ("few_stop_words", F.size(F.filter(words, lambda w: w.isin(*STOP_WORDS))) < 2),
+        ("few_letters", stats["letters"] / n < 0.8),
+        ("few_stop_words", stats["stops"] < 2),
     ]
 
 
+def quality_reason(df: DataFrame, text: str = "text", **limits) -> DataFrame:
+    """The first quality rule that fails."""
+    return with_reason(df.withColumn("__words", word_stats(F.col(text))), *quality_rules(F.col(text), F.col("__words"), **limits)).drop("__words")
+
+
 def filter_driver(df: DataFrame, excluded: set[str], text: str = "text", source: str = "source") -> DataFrame:
     """Repetition, then quality; rows of excluded sources pass unread."""
     checked = repetition_reason(df, text).withColumnRenamed("reason", "__repetition")
-    both = with_reason(checked, *quality_rules(F.col(text))).withColumn("reason", F.coalesce("__repetition", "reason"))
+    both = quality_reason(checked, text).withColumn("reason", F.coalesce("__repetition", "reason"))
     return both.withColumn("reason", F.when(~F.col(source).isin(*excluded), F.col("reason"))).drop("__repetition")
 
 

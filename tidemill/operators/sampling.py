@@ -26,9 +26,21 @@ def stratified_bernoulli(df: DataFrame, total: int, key: str, group: str = "sour
     return df.join(F.broadcast(targets), group).filter(hash_draw(F.col(key)) < F.col("p")).drop("p")
 
 
-def stratified_exact(df: DataFrame, total: int, key: str, group: str = "source", least: int = 0) -> DataFrame:
+def stratified_exact(df: DataFrame, total: int, key: str, group: str = "source", least: int = 0, seed: int = 1992, cells: int = 4096) -> DataFrame:
+    """As many rows of each group as its target says, those with the smallest draws.
+
+    Draws are counted in cells; cells below a group's cut are kept whole, and only the rows of the cell that holds the cut are ranked, so no group is sorted in one place.
+    """
     targets = stratified_targets(df, total, group, least=least).select(group, "wanted")
-    return take_per_group(df.join(F.broadcast(targets), group), [group], F.col("wanted"), key).drop("wanted")
+    drawn = df.withColumn("__u", hash_draw(F.col(key), seed)).withColumn("__cell", F.floor(F.col("__u") * cells))
+    by = drawn.groupBy(group, "__cell").agg(F.count("*").alias("__n")).join(F.broadcast(targets), group)
+    upto = F.sum("__n").over(Window.partitionBy(group).orderBy("__cell"))
+    cut = by.withColumn("__upto", upto).groupBy(group).agg(F.max("wanted").alias("__wanted"), F.min(F.when(F.col("__upto") > F.col("wanted"), F.col("__cell"))).alias("__cut"), F.max(F.when(F.col("__upto") <= F.col("wanted"), F.col("__upto"))).alias("__below"))
+    with_cut = drawn.join(F.broadcast(cut), group)
+    low = with_cut.filter(F.col("__cut").isNull() | (F.col("__cell") < F.col("__cut")))
+    edge = with_cut.filter(F.col("__cell") == F.col("__cut")).withColumn("__r", F.row_number().over(Window.partitionBy(group).orderBy("__u", key)))
+    edge = edge.filter(F.col("__r") <= F.col("__wanted") - F.coalesce("__below", F.lit(0))).drop("__r")
+    return low.unionByName(edge).drop("__u", "__cell", "__wanted", "__cut", "__below")
 
 
 def mixture_copies(df: DataFrame, weights: DataFrame, key: str, group: str = "source") -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import arrow as A
 from ..functions import text as T
-from ..operators import dedup, guidelines, pack, sampling, scoring, vectors, windows
+from ..operators import dedup, pack, sampling, scoring, vectors, windows
 from ..sources import tables as S
 from .registry import query
 from .table_queries import DOCS, WEIGHTS, corpus, draw
@@ -101,7 +101,7 @@ def a13_key_from_raw_lines(spark, load):
     return S.read_lines(spark, path).select(F.regexp_extract("value", r'"doc_id":\s*(\d+)', 1).cast("long").alias("doc_id"))
 
 
-@query("select ntile(8) over (order by doc_id) - 1 as shard, count(*) n, min(doc_id) first, max(doc_id) last from documents group by doc_id qualify false union all select shard, count(*), min(doc_id), max(doc_id) from (select doc_id, (row_number() over (order by doc_id) - 1) * 8 // (select count(*) from documents) as shard from documents) group by shard")
+@query("select shard, count(*) n, min(doc_id) first, max(doc_id) last from (select doc_id, (row_number() over (order by doc_id) - 1) * 8 // (select count(*) from documents) as shard from documents) group by shard")
 def a14_contiguous_shards(spark, load):
     d = windows.global_row_number(load("documents").select("doc_id"), "doc_id", "r")
     n = load("documents").count()
@@ -266,20 +266,13 @@ def b34_crawl(spark, load):
         seen, depth = grown, depth + 1
 
 
-@query()
-def g_guidelines(spark, load):
-    """The rules of all 18 kinds of source, each on the documents dealt to it."""
-    kinds = sorted(guidelines.RULES)
-    kind = F.element_at(F.array(*map(F.lit, kinds)), (F.pmod(F.col("doc_id"), F.lit(len(kinds))) + 1).cast("int"))
-    return guidelines.clean_guidelines(load("documents").select("doc_id", kind.alias("kind"), F.col("source").alias("title"), "text"))
-
-
 # deduplication
 
 _G = r"""select doc_id id, case when len(w) < 5 then [array_to_string(w, ' ')] else list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) end as g
 from (select doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{M}\p{N}_]+'), lambda x: x <> '') w from documents)"""
-_BANDS = ", ".join("'%d:' || %s" % (b, " || ".join(f"list_min(list_transform(g, lambda x: md5('{b * 2 + r}_' || x)))" for r in range(2))) for b in range(4))
-_EDGES = f"k as (select id, unnest([{_BANDS}]) k from ({_G})), e as (select distinct a, id b from (select id, min(id) over (partition by k) a from k) where a <> id)"
+_MINS = ", ".join(f"min((x * {a} + {b}) % {dedup.MERSENNE}) h{k}" for k, (a, b) in enumerate(dedup.permutations(112)))
+_BANDS = ", ".join("concat_ws('-', " + ", ".join([str(b)] + [f"h{b * 8 + r}" for r in range(8)]) + ")" for b in range(14))
+_EDGES = f"m as (select id, {_MINS} from (select id, ('0x' || substr(md5(unnest(g)), 1, 7))::bigint x from ({_G})) group by id), k as (select id, unnest([{_BANDS}]) k from m), e as (select distinct a, id b from (select id, min(id) over (partition by k) a from k) where a <> id)"
 
 
 @query(f"with {_EDGES} select a, b from e")

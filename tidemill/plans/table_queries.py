@@ -97,7 +97,7 @@ select doc_id, case when n < 50 then 'short' when s / n < 3 then 'short_words' w
 when len(list_filter(l, lambda x: regexp_matches(x, '^[\\s\\p{{Z}}]*[•-]'))) / len(l) > 0.9 then 'bullets' when len(list_filter(l, lambda x: regexp_matches(x, '(\\.\\.\\.|…)[\\s\\p{{Z}}]*$'))) / len(l) > 0.3 then 'ellipsis_ends'
 when len(list_filter(w, lambda x: regexp_matches(x, '\\p{{L}}'))) / n < 0.8 then 'few_letters' when len(list_filter(w, lambda x: x in ('the','be','to','of','and','that','have','with'))) < 2 then 'few_stop_words' end as reason from n""")
 def c7_quality_reason(spark, load):
-    return filters.with_reason(load("documents"), *filters.quality_rules(F.col("text"))).select("doc_id", "reason")
+    return filters.quality_reason(load("documents")).select("doc_id", "reason")
 
 
 @query()
