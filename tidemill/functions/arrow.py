@@ -168,17 +168,40 @@ def note_sections(parts: list[str]) -> list[dict]:
     return out
 
 
-_COMMON = {"en": {"the", "of", "and", "to", "in", "that", "is", "was", "for", "with"}, "fr": {"le", "la", "les", "de", "des", "et", "est", "que", "dans", "pour"}, "de": {"der", "die", "das", "und", "ist", "von", "zu", "mit", "den", "ein"}, "es": {"el", "los", "las", "que", "y", "en", "del", "por", "con", "una"}}
+#: Common words that tell a language; words of several of them are left out.
+COMMON = {
+    "en": {"the", "of", "and", "to", "that", "is", "was", "for", "with", "it", "are", "this", "not", "be", "from", "by", "have"},
+    "fr": {"le", "les", "des", "et", "est", "dans", "pour", "du", "une", "par", "qui", "sur", "avec", "pas", "aux", "sont", "ou"},
+    "de": {"der", "die", "das", "und", "ist", "von", "zu", "mit", "den", "ein", "nicht", "auf", "im", "dem", "eine", "auch", "sich"},
+    "es": {"el", "los", "las", "y", "del", "por", "con", "una", "para", "es", "no", "lo", "su", "al", "como", "más", "se"},
+}
 
 
-def language(text: str, prefix: int = 2000) -> str:
-    """The language whose commonest words the start of the text has most of (the prefix is the reference's rule); 'unknown' without any."""
+def language(text: str, prefix: int | None = 2000, common: dict[str, set[str]] = COMMON) -> str:
+    """The language whose common words a text has most of, of equal ones the first by name; 'unknown' without any.
+
+    prefix is the reference's rule: it looks at the first 2000 characters of articles and 10,000 of guidelines; None looks at all.
+    """
     words = re.findall(r"[^\W\d_]+", text[:prefix].lower())
-    score = {k: sum(w in v for w in words) for k, v in _COMMON.items()}
+    score = {k: sum(w in v for w in words) for k, v in common.items()}
     best = max(sorted(score), key=score.get)
     return best if score[best] else "unknown"
 
 
+def html_children(page: str, holder: str = "main") -> str:
+    """The headings, paragraphs and list items that are children of a page's holder elements (or of its body), in order: '## ' headings, '- ' items, other text as it is.
+
+    Sections below the holder are walked as it is; the last one goes if it holds references.
+    """
+    p = _Children(holder)
+    p.feed(page)
+    p.close()
+    blocks = p.blocks if any(p.blocks) else []
+    if len(blocks) > 1 and "references" in " ".join(blocks[-1]).lower():
+        blocks = blocks[:-1]
+    return re.sub(r"\n{3,}", "\n\n", "\n\n".join("\n".join(b) for b in blocks)).strip()
+
+
 _KNOWN = {"abstract", "introduction", "background", "methods", "materials and methods", "results", "discussion", "conclusion", "conclusions"}
 
 
@@ -246,6 +269,50 @@ class _Sections(HTMLParser):
             self.out[-1][0 if self.head else 1] += data
 
 
+class _Children(HTMLParser):
+    """Text of h*, p, ul and ol in blocks, one for each section; other elements are looked into, tables and page furniture are not."""
+
+    SKIP = {"table", "script", "style", "nav", "footer", "header", "head", "aside", "form"}
+
+    def __init__(self, holder: str) -> None:
+        super().__init__(convert_charrefs=True)
+        self.holder, self.blocks, self.kind, self.held, self.skip, self.lists = holder, [[]], None, "", 0, 0
+
+    def flush(self) -> None:
+        text = " ".join(self.held.split())
+        if text:
+            self.blocks[-1].append({"h": "\n## ", "li": "- "}.get(self.kind, "") + text)
+        self.held, self.kind = "", None
+
+    def handle_starttag(self, tag, attrs):
+        if tag in self.SKIP:
+            self.skip += 1
+            return
+        heading = re.fullmatch("h[1-6]", tag)
+        if tag == self.holder:
+            self.held, self.kind, self.blocks = "", None, [[]]
+        elif tag == "section":
+            self.flush()
+            self.blocks.append([])
+        elif heading or tag in ("p", "li", "ul", "ol", "br", "div"):
+            self.flush()
+            self.kind = "h" if heading else "li" if tag == "li" else None
+
+    def handle_endtag(self, tag):
+        if tag in self.SKIP:
+            self.skip = max(0, self.skip - 1)
+        elif re.fullmatch("h[1-6]|p|li|ul|ol|div|section", tag) or tag == self.holder:
+            self.flush()
+
+    def handle_data(self, data):
+        if not self.skip:
+            self.held += data
+
+    def close(self):
+        super().close()
+        self.flush()
+
+
 def html_sections(page: str, least: int = 5, stops: tuple[str, ...] = ("references", "external links"), skip: tuple[str, ...] = ()) -> list[dict]:
     """(header, text) of a page's sections: no tables, nothing from a stop header on, no named headers, no sections under `least` words."""
     p = _Sections()

@@ -122,3 +122,30 @@ def knn_cells(queries: DataFrame, base: DataFrame, k: int, centroids: np.ndarray
     found = q.groupBy("cell").cogroup(b.groupBy("place")).applyInArrow(near, "query_id long, vec_id long, distance double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k)
+
+
+def write_index(base: DataFrame, centroids: np.ndarray, path: str) -> None:
+    """A persistent index: vectors with their ids by cell, and the centroids beside them. A search reads the cells that it probes alone."""
+    spark = base.sparkSession
+
+    def cell(batches):
+        for b in batches:
+            v = np.asarray(b.column(1).flatten(), np.float64).reshape(len(b), -1)
+            own = np.concatenate([_distance(v[i : i + 512], centroids, "l2").argmin(1) for i in range(0, max(1, len(v)), 512)])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(own.astype(np.int32))], ["id", "v", "cell"])
+
+    placed = base.select(F.col("id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v")).mapInArrow(cell, "id long, v array<double>, cell int")
+    placed.repartition("cell").sortWithinPartitions("cell", "id").write.partitionBy("cell").parquet(f"{path}/vectors")
+    spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centroids)], "cell int, v array<double>").coalesce(1).write.parquet(f"{path}/centroids")
+
+
+def open_index(spark, path: str) -> tuple[DataFrame, np.ndarray]:
+    """(id, v, cell) and the centroids (as many as cells, so they fit the driver)."""
+    c = spark.read.parquet(f"{path}/centroids").orderBy("cell").select("v").toArrow()
+    return spark.read.parquet(f"{path}/vectors"), _rows(c.column("v"))
+
+
+def search_index(spark, path: str, queries: DataFrame, k: int, probes: int | None = None) -> DataFrame:
+    """The k nearest vectors of an index in the `probes` nearest cells of each query; all cells give the exact ones."""
+    base, centroids = open_index(spark, path)
+    return knn_cells(queries, base.select("id", "v"), k, centroids, min(probes or len(centroids), len(centroids)))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import arrow as A
 from ..functions import text as T
-from ..operators import dedup, pack, sampling, scoring, vectors, windows
+from ..operators import dedup, entities, pack, sampling, scoring, vectors, windows
 from ..sources import tables as S
 from .registry import query
 from .table_queries import DOCS, WEIGHTS, corpus, draw
@@ -108,13 +108,68 @@ def a14_contiguous_shards(spark, load):
     return d.groupBy(F.floor(F.col("r") * 8 / n).alias("shard")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
 
 
-@query("select 8::bigint shards, count(*) n, count(distinct doc_id) ids from documents")
+@query("select doc_id, ('0x' || substr(md5(doc_id::varchar), 1, 8))::bigint % 8 as shard from documents")
 def a15_hash_shards(spark, load):
     """The shards of a table together hold each row once."""
     from functools import reduce
 
-    parts = [S.shard(load("documents"), "doc_id", i, 8).select("doc_id") for i in range(8)]
-    return reduce(lambda a, b: a.unionByName(b), parts).agg(F.lit(8).cast("long").alias("shards"), F.count("*").alias("n"), F.countDistinct("doc_id").alias("ids"))
+    parts = [S.shard(load("documents"), "doc_id", i, 8).select("doc_id", F.lit(i).cast("long").alias("shard")) for i in range(8)]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+@query("select doc_id, text from documents where lang = 'fr' and doc_id % 2 = 1")
+def a2_named_config(spark, load):
+    """Languages are configurations, odd and even ids their splits; one of each is read."""
+    path = _place(spark, "a2")
+    parted = load("documents").select("doc_id", "text", F.col("lang").alias("config"), F.when(F.col("doc_id") % 2 == 1, "odd").otherwise("even").alias("split"))
+    parted.write.partitionBy("config", "split").parquet(path)
+    return S.read_config(spark, path, "fr", "odd")
+
+
+@query("select conv_id, turn, role, 'lines' as form from conversations union all select n_nationkey, n_regionkey, n_name, 'document' from nation")
+def a3_json(spark, load):
+    """Lines, and files of one array each, with inferred schemas."""
+    path = _place(spark, "a3")
+    load("conversations").select("conv_id", "turn", "role").write.json(f"{path}/lines")
+    array = load("nation").agg(F.to_json(F.collect_list(F.struct("n_nationkey", "n_regionkey", "n_name"))).alias("value"))
+    array.write.text(f"{path}/document")
+    lines = S.read_json(spark, f"{path}/lines").select("conv_id", "turn", "role", F.lit("lines").alias("form"))
+    whole = S.read_json(spark, f"{path}/document", multi_line=True)
+    return lines.unionByName(whole.select(F.col("n_nationkey").alias("conv_id"), F.col("n_regionkey").alias("turn"), F.col("n_name").alias("role"), F.lit("document").alias("form")))
+
+
+@query(f"select doc_id, source, num_tokens from (select *, row_number() over (partition by source order by {draw('doc_id')}, doc_id) r from {DOCS}) where r <= 40 and num_tokens >= 50")
+def a11_resumed_shards(spark, load):
+    """Sources are shards; each is sampled and filtered. A first run has some of them done, the second does the rest and nothing twice."""
+    path, docs = _place(spark, "a11"), corpus(load)
+
+    def process(rows):
+        return sampling.take_per_group(rows, ["source"], 40, "doc_id").filter("num_tokens >= 50").select("doc_id", "source", "num_tokens")
+
+    S.process_shards(docs.filter("source < 'src3'"), path, process, "source")
+    S.process_shards(docs, path, process, "source")
+    S.process_shards(docs, path, process, "source")
+    return S.read_parquet(spark, path).select("doc_id", F.col("source").cast("string").alias("source"), "num_tokens")
+
+
+@query("select vec_id, chunk, row_number() over (order by chunk, vec_id) - 1 as row_index from (select vec_id, vec_id % 12 as chunk from embeddings)")
+def a16_vector_chunks(spark, load):
+    """Chunk folders of ids and vectors, read as one in the order of their numbers (10 after 9)."""
+    path = _place(spark, "a16")
+    load("embeddings").select("vec_id", "embedding", F.pmod("vec_id", F.lit(12)).alias("chunk")).write.partitionBy("chunk").parquet(path)
+    rows = S.read_parquet(spark, path).filter(F.size("embedding") > 0).select("vec_id", F.col("chunk").cast("long").alias("chunk"))
+    placed = rows.withColumn("at", F.col("chunk") * 1_000_000_000_000 + F.col("vec_id"))
+    return windows.global_row_number(placed, "at", "row_index").select("vec_id", "chunk", "row_index")
+
+
+@query("select doc_id, upper(lang) || '-' || n_chars as tag from documents")
+def a20_resumed_enrichment(spark, load):
+    """Asked in batches of 100; a second run asks for what the first lacks."""
+    path, docs = _place(spark, "a20"), load("documents").select("doc_id", "lang", "n_chars")
+    ask = lambda rows: [{"doc_id": r["doc_id"], "tag": f"{r['lang'].upper()}-{r['n_chars']}"} for r in rows]
+    for part in (docs.filter("lang = 'en'"), docs, docs):
+        S.enrich(part, path, "doc_id", ask, "doc_id long, tag string")
+    return S.read_parquet(spark, path)
 
 
 @query("select page_id, sha256(substr(url, 1, 400)) digest from pages")
@@ -174,6 +229,13 @@ def k12_partition_upsert(spark, load):
     return S.read_parquet(spark, path).groupBy("source", "lang").agg(F.count("*").alias("n"))
 
 
+@query("select source || ': ' || count(*) || ' documents' as value from documents group by source")
+def k13_text_report(spark, load):
+    path = _place(spark, "k13")
+    S.write_report(load("documents").groupBy("source").agg(F.count("*").alias("n")), path, F.concat("source", F.lit(": "), "n", F.lit(" documents")))
+    return S.read_lines(spark, path)
+
+
 # sequential text
 
 
@@ -221,9 +283,28 @@ def b27_group_headers(spark, load):
     return load("documents").select("doc_id", F.posexplode(f(F.col("text"))).alias("pos", "paragraphs"))
 
 
-@query()
+def _detected(prefix: int) -> str:
+    counts = ", ".join(f"len(list_filter(w, lambda x: x in ({', '.join(repr(x) for x in sorted(v))}))) {k}" for k, v in A.COMMON.items())
+    most = " ".join(f"when {k} = m then '{k}'" for k in sorted(A.COMMON))
+    return f"(select doc_id, case when m = 0 then 'unknown' {most} end detected from (select *, greatest({', '.join(A.COMMON)}) m from (select doc_id, {counts} from (select doc_id, regexp_extract_all(lower(substr(text, 1, {prefix})), '[\\p{{L}}]+') w from documents))))"
+
+
+@query(f"select a.doc_id, a.detected, b.detected as by_guideline_rule, lang from {_detected(2000)} a join {_detected(10000)} b using (doc_id) join documents using (doc_id)")
 def b28_language(spark, load):
-    return load("documents").select("doc_id", A.arrow(A.language, "string", pa.string())(F.col("text")).alias("detected"), "lang")
+    """By the prefix that articles are judged by, and by that of guidelines."""
+    both = [A.arrow(lambda t, p=p: A.language(t, p), "string", pa.string())(F.col("text")) for p in (2000, 10_000)]
+    return load("documents").select("doc_id", both[0].alias("detected"), both[1].alias("by_guideline_rule"), "lang")
+
+
+@query(f"select doc_id, detected from {_detected(2000)} where detected = 'en'")
+def c9_language(spark, load):
+    found = load("documents").select("doc_id", A.arrow(A.language, "string", pa.string())(F.col("text")).alias("detected"))
+    return found.filter("detected = 'en'")
+
+
+@query()
+def b32_html_children(spark, load):
+    return load("pages").select("page_id", A.arrow(A.html_children, "string", pa.string())(F.col("html")).alias("text"))
 
 
 @query()
@@ -362,6 +443,17 @@ def l4_knn_exact(spark, load):
     return vectors.knn(v, v, 10).select("query_id", "vec_id", F.round("distance", 6).alias("distance"), F.col("rank").cast("long").alias("rank"))
 
 
+@query("""with d as (select a.vec_id query_id, b.vec_id, round(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: (p[1]::double - p[2]::double) * (p[1]::double - p[2]::double))), 6) distance from embeddings a, embeddings b where a.vec_id % 20 = 0),
+r as (select *, row_number() over (partition by query_id order by distance, vec_id) as rank from d) select query_id, vec_id, distance, rank from r where rank <= 5""")
+def k10_vector_index(spark, load):
+    """An index on disk, opened again; queries are the vectors whose id is divisible by 20, and all cells are probed, so the result is exact."""
+    v = load("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+    path = _place(spark, "k10")
+    vectors.write_index(v, vectors.train_cells(v, max(1, round(v.count() ** 0.5)), rounds=2), path)
+    found = vectors.search_index(spark, path, v.filter("id % 20 = 0"), 5)
+    return found.select("query_id", "vec_id", F.round("distance", 6).alias("distance"), F.col("rank").cast("long").alias("rank"))
+
+
 @query()
 def l4_knn_cells(spark, load):
     v = load("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
@@ -397,6 +489,15 @@ def l9_rationale_gate(spark, load):
     return load("conversations").select("conv_id", "turn", F.when(ok, p[0]).otherwise("").alias("rationale"))
 
 
+@query(r"""with l as (select distinct w as entity from (select unnest(regexp_extract_all(lower(text), '[\p{L}]+')) w from benchmark) where length(w) >= 6),
+d as (select doc_id, w as entity, count(*) mentions from (select doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{M}\p{N}_]+'), lambda x: x <> '')) w from documents) group by all)
+select doc_id, entity, 'term' as type, mentions from d join l using (entity)""")
+def l7_entities(spark, load):
+    """The lexicon is the long words of the benchmark."""
+    words = load("benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}]+)"), 1)).alias("entity")).filter(F.length("entity") >= 6)
+    return entities.lexicon_entities(load("documents"), words.withColumn("type", F.lit("term")))
+
+
 # tokens
 
 
@@ -443,9 +544,33 @@ def m7_mcq_labels(spark, load):
     return load("conversations").select("conv_id", "turn", labels.cast("array<bigint>").alias("labels"))
 
 
-@query("select count(*) // 64 * 64 as usable from documents")
+_BLOCKS_SQL = """with t as (select doc_id, string_split(text || chr(3), '') t from documents), p as (select *, sum(len(t)) over (order by doc_id) - len(t) as a0 from t), e as (select a0 + i - 1 pos, ascii(t[i]) id from p, lateral (select unnest(range(1, len(t) + 1)) i)),
+b as (select (pos // 2048)::bigint block_id, list(id order by pos) input_ids from e group by 1 having count(*) = 2048)"""
+
+
+@query(f"{_BLOCKS_SQL} select block_id, input_ids from b where block_id < (select count(*) // 16 * 16 from b)")
+def k6_token_matrix(spark, load):
+    """Blocks as raw int32 files, read back in whole multiples of 16 rows."""
+    path = _place(spark, "k6")
+    ids = load("documents").select("doc_id", pack.char_ids(F.concat("text", F.char(F.lit(3)))).alias("ids"))
+    S.write_matrix(pack.pack_blocks(ids, "doc_id", "ids", 2048), path, 2048, 256)
+    return S.read_matrix(spark, path, 2048, 16, 256)
+
+
+@query("select config, 'points' as model, 2048 as length, count(*) as documents from (select 'all' config, 1 from documents union all select 'english', 1 from documents where lang = 'en') group by config")
+def m5_named_outputs(spark, load):
+    """The folder of an output says which configuration, tokenizer and length it has."""
+    path, d = _place(spark, "m5"), load("documents")
+    for config, rows in (("all", d), ("english", d.filter("lang = 'en'"))):
+        S.write_parquet(rows.select("doc_id", F.lit(config).alias("config"), F.lit("points").alias("model"), F.lit(2048).alias("length")), path, mode="append", by=["config", "model", "length"])
+    return S.read_parquet(spark, path).groupBy("config", "model", F.col("length").cast("int").alias("length")).agg(F.count("*").alias("documents"))
+
+
+@query("select doc_id from (select doc_id, row_number() over (order by doc_id) r from documents) where r <= (select count(*) // 64 * 64 from documents)")
 def m8_whole_batches(spark, load):
-    return load("documents").agg((F.floor(F.count("*") / 64) * 64).alias("usable"))
+    """The rows of whole batches of 64, in order."""
+    d = load("documents").select("doc_id")
+    return windows.global_row_number(d, "doc_id", "r").filter(F.col("r") < d.count() // 64 * 64).select("doc_id")
 
 
 # instructions and concepts

@@ -105,11 +105,6 @@ def c8_filter_driver(spark, load):
     return filters.filter_driver(load("documents"), {"src5", "src6"}).select("doc_id", "source", "reason")
 
 
-@query("select doc_id, lang from documents where lang = 'en'")
-def c9_language(spark, load):
-    return load("documents").filter("lang = 'en'").select("doc_id", "lang")
-
-
 _SW = r"list_filter(regexp_split_to_array(text, '[\s\p{Z}]+'), lambda x: x <> '')"
 
 
@@ -176,9 +171,11 @@ def j2_other_corpus_anti(spark, load):
     return load("documents").join(load("benchmark").select("text"), "text", "left_anti").select("doc_id")
 
 
-@query("select c_custkey, c_name from customer where not exists (select 1 from orders where o_custkey = c_custkey)")
+@query("select c_custkey, c_name from customer where not exists (select 1 from orders where o_custkey = c_custkey and o_orderstatus = 'F')")
 def j3_key_anti(spark, load):
-    return load("customer").join(load("orders"), F.col("o_custkey") == F.col("c_custkey"), "left_anti").select("c_custkey", "c_name")
+    """Customers without a finished order."""
+    done = load("orders").filter("o_orderstatus = 'F'")
+    return load("customer").join(done, F.col("o_custkey") == F.col("c_custkey"), "left_anti").select("c_custkey", "c_name")
 
 
 @query("select doc_id, source from documents where doc_id not in (select doc_id from labels)")
@@ -226,11 +223,11 @@ def j10_self_pairs(spark, load):
     return n.alias("x").join(n.alias("y"), "n_regionkey").filter("x.n_nationkey <> y.n_nationkey").select(F.col("x.n_name").alias("a"), F.col("y.n_name").alias("b"))
 
 
-@query("select p_partkey, p_name from part p where ends_with(p_name, 'overview') or not exists (select 1 from (select distinct string_split(p_name, ' ')[1] s from part where p_size = 7) o where starts_with(p.p_name, o.s))")
+@query("select p_partkey, p_name from part p where ends_with(p_name, 'overview') or not exists (select 1 from (select distinct string_split(p_name, ' ')[1] s from part where p_size = 7 and p_type = 'SMALL') o where starts_with(p.p_name, o.s))")
 def j11_prefix_anti(spark, load):
     """Prefixes end at a word, so the theta join is an equi-join on the first word."""
     p = load("part").withColumn("s", F.element_at(F.split("p_name", " "), 1))
-    subjects = p.filter("p_size = 7").select("s").distinct()
+    subjects = p.filter("p_size = 7 and p_type = 'SMALL'").select("s").distinct()
     return p.join(subjects, "s", "left_anti").select("p_partkey", "p_name").unionByName(p.filter(F.col("p_name").endswith("overview")).join(subjects, "s", "left_semi").select("p_partkey", "p_name"))
 
 

@@ -136,13 +136,16 @@ def b20_clinical_lines(spark, load):
     return load("documents").select("doc_id", T.clinical_lines(F.col("text")).alias("text"))
 
 
-_NOTE = "replace(replace(replace(text, ' the ', ' [**Last Name 12**] '), ' of ', ' [**Hospital Ward**] '), ' and ', ' [**2101-3-4**] ')"
+_MARKS = ((" the ", " [**Last Name (un) 12**] "), (" of ", " [**Hospital Ward**] "), (" and ", " [**2101-3-4**] "), (" de ", " [**7-12**] "), (" la ", " [** **] "), (" in ", " [**Doctor First Name**] "), (" to ", " [**Holiday 7**] "), (" que ", " **1991** "), (" und ", " [**Age over 90 **] "), (" is ", " [**Clip Number (Radiology) 9**] "))
+_NOTE = "text"
+for _a, _b in _MARKS:
+    _NOTE = f"replace({_NOTE}, '{_a}', '{_b}')"
 
 
-@query(f"select doc_id, {rx(_NOTE, *((rf'(?i)\[\*\*\s*{p}\s*\*\*\]', '___') for p in T.SCRUB))} text from documents")
+@query(f"select doc_id, {rx(_NOTE, *((f'(?i){p}', '___') for p in T.SCRUB))} text from documents")
 def b21_scrub(spark, load):
     note = F.col("text")
-    for a, b in ((" the ", " [**Last Name 12**] "), (" of ", " [**Hospital Ward**] "), (" and ", " [**2101-3-4**] ")):
+    for a, b in _MARKS:
         note = F.replace(note, F.lit(a), F.lit(b))
     return load("documents").select("doc_id", T.scrub(note).alias("text"))
 

@@ -13,6 +13,18 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def read_config(spark: SparkSession, path: str, config: str, split: str | None = None) -> DataFrame:
+    """A named configuration, or one of its splits, of a dataset laid out as path/config=.../split=...: other folders aren't listed."""
+    rows = spark.read.parquet(path).filter(F.col("config") == config)
+    return (rows.filter(F.col("split") == split) if split is not None else rows).drop("config", "split")
+
+
+def read_json(spark: SparkSession, path: str, schema: str | None = None, multi_line: bool = False) -> DataFrame:
+    """JSON lines, or files of one document or array each; the schema is inferred if none is given."""
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    return reader.option("multiLine", multi_line).json(path)
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: str | TY.StructType, lenient: bool = False) -> DataFrame:
     """JSON lines, gzipped or not. Lenient: lines that don't parse are skipped, as are unreadable files."""
     reader = spark.read.schema(schema)
@@ -49,9 +61,14 @@ def keyed_object(df: DataFrame, column: str, value_schema: str) -> DataFrame:
     return df.select(F.explode(F.from_json(column, f"map<string, {value_schema}>")).alias("id", "value"))
 
 
+def shard_of(key, shards: int):
+    """The shard of a key, by 32 bits of its MD5."""
+    return F.pmod(F.conv(F.substring(F.md5(key.cast("string")), 1, 8), 16, 10).cast("long"), F.lit(shards))
+
+
 def shard(df: DataFrame, key: str, index: int, shards: int) -> DataFrame:
     """Shard `index` of `shards`, by the hash of the key."""
-    return df.filter(F.pmod(F.crc32(F.col(key).cast("string")), F.lit(shards)) == index)
+    return df.filter(shard_of(F.col(key), shards) == index)
 
 
 def payload_digest(content) -> F.col:
@@ -102,3 +119,96 @@ def append_new(df: DataFrame, path: str, key: str, schema: TY.StructType) -> Non
         df.write.parquet(path)
         return
     df.join(done, key, "left_anti").select(*schema.names).write.mode("append").parquet(path)
+
+
+def missing(df: DataFrame, path: str, keys: list[str]) -> DataFrame:
+    """The rows of df whose keys a Parquet table at path lacks; all if there is no table."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        done = df.sparkSession.read.parquet(path).select(*keys).distinct()
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return df
+    return df.join(done, keys, "left_anti")
+
+
+def process_shards(df: DataFrame, path: str, process, shard: str = "shard") -> None:
+    """process(rows of the shards that path lacks) written by shard: a run that broke off goes on with what is missing. Shards are read, processed and written side by side."""
+    process(missing(df, path, [shard])).write.mode("append").partitionBy(shard).parquet(path)
+
+
+def enrich(df: DataFrame, path: str, key: str, f, schema: str, batch: int = 100) -> None:
+    """f(list of rows as dicts) -> list of dicts of schema, in batches, for the rows whose key path lacks; appended, so a rerun asks for nothing twice."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            for i in range(0, len(b), batch):
+                got = f(b.slice(i, batch).to_pylist())
+                yield pa.RecordBatch.from_pylist(got, kinds) if got else pa.RecordBatch.from_pylist([], kinds)
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    struct = df.sparkSession.createDataFrame([], schema).schema
+    kinds = to_arrow_schema(struct)
+    missing(df, path, [key]).mapInArrow(run, struct).write.mode("append").parquet(path)
+
+
+def write_report(df: DataFrame, path: str, line) -> None:
+    """A small report as text: a line for each row, as the expression has it, in the order of rows sorted by all columns."""
+    df.orderBy(*df.columns).select(line.cast("string").alias("value")).coalesce(1).write.text(path)
+
+
+def _files(uri: str):
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri.removeprefix("file:"))
+
+
+def write_matrix(blocks: DataFrame, path: str, width: int, file_rows: int = 4096, order: str = "block_id", ids: str = "input_ids") -> None:
+    """Rows of `width` int32 ids in the order of a dense block id, as raw little-endian files of file_rows rows each: what a trainer maps into memory.
+
+    A file has a name by its place, so a task that is run again writes the same file.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by(order)
+        x = np.asarray(t.column(ids).combine_chunks().flatten(), "<i4")
+        if len(x) != len(t) * width:
+            raise ValueError(f"a block hasn't {width} ids")
+        place = t.column("__file")[0].as_py()
+        system, folder = _files(path)
+        system.create_dir(folder, recursive=True)
+        with system.open_output_stream(f"{folder}/{place:08d}.i4", compression=None) as out:
+            out.write(x.tobytes())
+        return pa.table({"file": pa.array([place], pa.int64()), "rows": pa.array([len(t)], pa.int64())})
+
+    rows = blocks.select(F.col(order).cast("long"), F.col(ids).cast("array<int>"), F.floor(F.col(order) / file_rows).cast("long").alias("__file"))
+    rows.groupBy("__file").applyInArrow(run, "file long, rows long").write.mode("overwrite").parquet(f"{path.rstrip('/')}-files")
+
+
+def read_matrix(spark: SparkSession, path: str, width: int, multiple: int = 1, file_rows: int = 4096) -> DataFrame:
+    """(block_id, input_ids) of such files; rows beyond the last whole multiple (of a batch, say) are left out."""
+    import numpy as np
+    import pyarrow as pa
+
+    files = spark.read.parquet(f"{path.rstrip('/')}-files")
+    usable = (files.agg(F.sum("rows")).first()[0] or 0) // multiple * multiple
+
+    def run(batches):
+        for b in batches:
+            for place in b.column(0).to_pylist():
+                system, folder = _files(path)
+                with system.open_input_stream(f"{folder}/{place:08d}.i4", compression=None) as f:
+                    x = np.frombuffer(f.read(), "<i4").reshape(-1, width)
+                for i in range(0, len(x), 512):
+                    part = x[i : i + 512]
+                    at = pa.array(np.arange(len(part) + 1, dtype=np.int32) * width)
+                    yield pa.RecordBatch.from_arrays([pa.array(place * file_rows + i + np.arange(len(part))), pa.ListArray.from_arrays(at, pa.array(part.ravel()))], ["block_id", "input_ids"])
+
+    return files.select("file").repartition("file").mapInArrow(run, "block_id long, input_ids array<int>").filter(F.col("block_id") < usable)
