@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tidemill.llm import embedding_dups, exact_dedup, html_text, licenses, mixing, ngram_join, packing, quality, repair, warc
+from tidemill.llm import embedding_dups, exact_dedup, html_text, licenses, mixing, ngram_join, packing, quality, repair, tiles, warc
 from tidemill.llm.store import new_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, digest string, cls long, size int, __gone long"
@@ -32,7 +32,7 @@ def empty(spark):
 
 
 def words(t):
-    return re.findall(r"[a-z0-9\x80-\U0010ffff]+", t.lower())
+    return re.findall("[\u3040-\u9fff]|[a-z0-9\x80-\x9f\xa1-\u1fff\u2080-\u2fff\ua000-\U0010ffff]+", t.lower())
 
 
 def brute_pairs(texts, n=3, threshold=0.5):
@@ -50,6 +50,23 @@ def brute_pairs(texts, n=3, threshold=0.5):
     return found
 
 
+def test_words_of_all_scripts():
+    """Words are those of the rule, with ideographs one by one and typographic marks between words; no word crosses a text."""
+    from tidemill.llm import text
+
+    rng = random.Random(2)
+    pieces = ["a", "B1", "é", "漢", "字", "かな", "、", "。", "“", "”", "–", "\xa0", " ", "\n", ",", "한글", "😀", "\u207f", "\u2080", "\u3000", "ü"]
+    texts = ["", "漢", "“", *("".join(rng.choice(pieces) for _ in range(rng.randint(0, 12))) for _ in range(300))]
+    got = text.word_counts(pa.array(texts, pa.large_string()))
+    assert got.tolist() == [len(words(t)) for t in texts]
+    h, at = text.words(pa.array(texts, pa.large_string()))
+    same = {}
+    for k, t in enumerate(texts):
+        for x, w in zip(h[at[k] : at[k + 1]].tolist(), words(t)):
+            assert same.setdefault(w, x) == x
+    assert len(set(same.values())) == len(same)
+
+
 def test_join_awkward(awkward, empty):
     got = {(r.doc_a, r.doc_b) for r in ngram_join.ngram_jaccard_join(awkward).collect()}
     assert got == {(1, 2), (7, 8)}
@@ -195,11 +212,12 @@ def test_parity_bounds():
             assert set(ngram_join.sketch(a, 0).tolist()) & set(ngram_join.sketch(b, 0).tolist())
 
 
-def test_components(spark):
-    edges = [(i, i + 1) for i in range(30)] + [(100, 101), (100, 105), (7, 3)]
-    got = {r.id: r.group for r in ngram_join.components(spark.createDataFrame(edges, "doc_a long, doc_b long")).collect()}
+@pytest.mark.parametrize("few", [0, 1000])
+def test_components(spark, few):
+    edges = [(i, i + 1) for i in range(30)] + [(100, 101), (100, 105), (7, 3), (5, 5)]
+    got = {r.id: r.group for r in tiles.components(spark.createDataFrame(edges, "doc_a long, doc_b long"), few=few).collect()}
     assert got == {i: 0 for i in range(31)} | {100: 100, 101: 100, 105: 100}
-    assert ngram_join.components(spark.createDataFrame([], "doc_a long, doc_b long")).count() == 0
+    assert tiles.components(spark.createDataFrame([], "doc_a long, doc_b long"), few=few).count() == 0
 
 
 def test_exact_dedup(spark, awkward, empty):

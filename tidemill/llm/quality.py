@@ -53,7 +53,7 @@ def statistics(texts: pa.Array) -> np.ndarray:
         kinds = np.bincount(np.repeat(np.arange(n) * CLASSES, size) + _CLASS[raw], minlength=n * CLASSES).reshape(n, CLASSES)
         chars = np.maximum(size - kinds[:, 13], 1)
         low, loff = text.buffer(pc.utf8_lower(t))
-        start, end = text.runs(low, loff, text.WORD)
+        start, end = text.word_runs(low, loff)
         h = text.span_hash(low, start, end)
         at = np.searchsorted(start, loff)
         words = np.diff(at)

@@ -70,7 +70,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc, op2_quality_classifier, op3_exact_dedup, op4_repair_tokens, op5_soft_mixing, op6_embedding_near_dups, op7_best_two_fit, op8_ngram_jaccard_join, op9_html_text, op10_license_scan)}
 
-_WORDS = r"list_filter(regexp_split_to_array(lower(text), '[\x00-/:-`{-\x7f]+'), lambda x: x <> '')"
+_WORDS = r"regexp_extract_all(lower(text), '[\x{3040}-\x{9fff}]|[a-z0-9\x{80}-\x{9f}\x{a1}-\x{1fff}\x{2080}-\x{2fff}\x{a000}-\x{10ffff}]+')"
 
 ORACLE_SQL: dict[str, str] = {
     "op1_warc": """

@@ -1,7 +1,7 @@
 """Whole-batch text passes over Arrow buffers: words, n-gram hashes, character classes.
 
-A word is a maximal run of ASCII letters and digits and of all other characters outside ASCII,
-after lower-casing. Every pass walks whole texts; buffers are cut between documents only.
+A word is a maximal run of ASCII letters and digits and of other characters outside ASCII, after lower-casing; no-break spaces and general and CJK
+punctuation (U+00A0, U+2000 to U+207F, U+3000 to U+303F) part words, and each kana or ideograph (U+3040 to U+9FFF) is a word, as these scripts have no spaces. Every pass walks whole texts; buffers are cut between documents only.
 """
 
 from __future__ import annotations
@@ -92,6 +92,30 @@ def runs(raw: np.ndarray, off: np.ndarray, table: np.ndarray) -> tuple[np.ndarra
     return np.flatnonzero(first), np.flatnonzero(last) + 1
 
 
+def word_runs(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of words in lower-cased UTF-8."""
+    start, end = runs(raw, off, WORD)
+    lead = np.flatnonzero(raw >= 0xE2) if len(raw) else np.zeros(0, np.int64)
+    lead = lead[raw[lead] <= 0xE9]
+    space = np.flatnonzero(raw == 0xC2)
+    space = space[raw[space + 1] == 0xA0]
+    if not len(lead) and not len(space):
+        return start, end
+    a, b = raw[lead], raw[lead + 1]
+    mark, own = lead[((a == 0xE2) & (b <= 0x81)) | ((a == 0xE3) & (b == 0x80))], lead[(a > 0xE3) | ((a == 0xE3) & (b > 0x80))]
+    inside = WORD[raw]
+    for k in range(3):
+        inside[mark + k] = False
+    inside[space] = inside[space + 1] = False
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~inside[:-1]
+    last[:-1] &= ~inside[1:]
+    cut = np.concatenate([off[1:-1], own, own + 3])
+    cut = cut[(cut > 0) & (cut < len(raw))]
+    first[cut], last[cut - 1] = inside[cut], inside[cut - 1]
+    return np.flatnonzero(first), np.flatnonzero(last) + 1
+
+
 def span_hash(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each byte span."""
     if not len(start):
@@ -105,7 +129,7 @@ def span_hash(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray
 def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each word, first word of each document, plus the total) for a slice from chunks()."""
     raw, off = buffer(pc.utf8_lower(texts))
-    start, end = runs(raw, off, WORD)
+    start, end = word_runs(raw, off)
     return span_hash(raw, start, end), np.searchsorted(start, off)
 
 
@@ -133,6 +157,6 @@ def word_counts(texts: pa.Array | pa.ChunkedArray) -> np.ndarray:
     out = []
     for _, t in chunks(texts):
         raw, off = buffer(pc.utf8_lower(t))
-        start, _ = runs(raw, off, WORD)
+        start, _ = word_runs(raw, off)
         out.append(np.diff(np.searchsorted(start, off)))
     return np.concatenate(out) if out else np.zeros(0, np.int64)

@@ -70,12 +70,34 @@ def classes(documents: DataFrame, classes: DataFrame, linked: DataFrame) -> Data
     return rows.groupBy("doc_id").agg(F.min(F.coalesce("group", "rep", "doc_id")).alias("class_id"), F.sum(F.coalesce("n", F.lit(1)) - 1 + F.coalesce("more", F.lit(0))).alias("links"))
 
 
-def components(pairs: DataFrame, a: str = "doc_a", b: str = "doc_b", rounds: int = 60) -> DataFrame:
-    """(id, group): the smallest id each id is connected to, by alternating large-star and small-star steps.
+def united(a: list[int], b: list[int]) -> dict[int, int]:
+    """The smallest id that each id of the edges (a, b) is connected to."""
+    up: dict[int, int] = {}
 
-    Each round's edges are written to the shared folder; rounds grow with the logarithm of the longest chain.
+    def find(i: int) -> int:
+        while (j := up.setdefault(i, i)) != i:
+            up[i] = i = up[j]
+        return i
+
+    for x, y in zip(a, b):
+        x, y = find(x), find(y)
+        if x != y:
+            up[max(x, y)] = min(x, y)
+    return {i: find(i) for i in list(up)}
+
+
+def components(pairs: DataFrame, a: str = "doc_a", b: str = "doc_b", rounds: int = 60, few: int = 500_000) -> DataFrame:
+    """(id, group): the smallest id each id is connected to.
+
+    Up to `few` edges are counted and united on the driver. More are joined in alternating large-star and small-star steps: each round's edges are written to the shared
+    folder, and rounds grow with the logarithm of the longest chain. Both give the same groups.
     """
     edges = store.materialise(pairs.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct(), "edges")
+    if edges.count() <= few:
+        t = edges.toArrow()
+        group = united(t.column("u").to_pylist(), t.column("v").to_pylist())
+        store.discard(edges)
+        return edges.sparkSession.createDataFrame(pa.table({"id": pa.array(group.keys(), pa.int64()), "group": pa.array(group.values(), pa.int64())}))
     before = None
     for _ in range(rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
