@@ -214,7 +214,8 @@ def test_windows_and_packing(spark):
 
 def test_dedup(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (7, 8), (3, 9)], "a long, b long")
-    assert {r.id: r.cluster for r in dedup.components(edges).collect()} == {1: 1, 2: 1, 3: 1, 9: 1, 7: 7, 8: 7}
+    for few in (0, 100):
+        assert {r.id: r.cluster for r in dedup.components(edges, few).collect()} == {1: 1, 2: 1, 3: 1, 9: 1, 7: 7, 8: 7}
     docs = spark.createDataFrame([(1, "a\nb\nc\nd"), (2, "x\nb\nc\nd\ny")], "doc_id long, text string")
     got = {r.doc_id: r.text for r in dedup.span_dedup(docs).collect()}
     assert got == {1: "a\nb\nc\nd", 2: "x\ny"}

@@ -57,8 +57,26 @@ def minhash_pairs(docs: DataFrame, id_col: str = "doc_id", n: int = 5, bands: in
     return keys.join(low, "key").filter("id <> a").select("a", F.col("id").alias("b")).distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(id, cluster) with the smallest id of each connected component; rounds are written, so lineage stays short."""
+def _united(edges: pa.Table) -> pa.Table:
+    up: dict[int, int] = {}
+
+    def find(i: int) -> int:
+        while (j := up.setdefault(i, i)) != i:
+            up[i] = i = up[j]
+        return i
+
+    for x, y in zip(edges.column("a").to_pylist(), edges.column("b").to_pylist()):
+        x, y = find(x), find(y)
+        if x != y:
+            up[max(x, y)] = min(x, y)
+    return pa.table({"id": pa.array(list(up), pa.int64()), "cluster": pa.array([find(i) for i in list(up)], pa.int64())})
+
+
+def components(edges: DataFrame, few: int = 500_000) -> DataFrame:
+    """(id, cluster) with the smallest id of each connected component. Up to `few` edges, counted, are united on the driver; for more, rounds are written, so lineage stays short."""
+    edges = written(edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")), "pairs")
+    if edges.count() <= few:
+        return edges.sparkSession.createDataFrame(_united(edges.toArrow()))
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     both = written(both.distinct(), "edges")
     labels = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).withColumnRenamed("a", "id"), "labels")
