@@ -185,6 +185,17 @@ def test_entities(spark):
     assert sorted(map(tuple, entities.lexicon_entities(docs, lexicon).collect())) == [(1, "aspirin", "drug", 2), (1, "ibuprofen", "drug", 1)]
 
 
+def test_every_long_repeat_has_an_anchor(spark):
+    """Passages of the least length planted at any offset are found, shorter repeats than a gram aren't; nulls and short texts have none."""
+    rng = random.Random(3)
+    fresh = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    passage = fresh(20)
+    texts = [fresh(rng.randint(0, 60)) + passage + fresh(rng.randint(0, 60)) for _ in range(30)] + [fresh(80) for _ in range(10)] + [fresh(20) + passage[:9] + fresh(20)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)] + [(100, None), (101, ""), (102, "one two")]
+    got = dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"), 20).collect()
+    assert {r.doc_id for r in got if r.first_doc == 0} == set(range(1, 30)) and all(r.first_doc < r.doc_id < 30 for r in got)
+
+
 def test_span_dedup_takes_rows_of_any_kind(spark):
     """Nulls, empty and short texts, repeats inside a text, and the reference's bound."""
     docs = spark.createDataFrame([(1, None), (2, ""), (3, "a\nb"), (4, "x\ny\nz\nx\ny\nz"), (5, "q\nx\ny\nz")], "doc_id long, text string")

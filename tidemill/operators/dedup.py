@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -123,3 +125,32 @@ def span_dedup(docs: DataFrame, span: int = 3, id_col: str = "doc_id", text_col:
 
     done = rows.select(id_col, text_col).join(again, id_col, "left").select(id_col, cut(F.col(text_col), F.col("places")).alias("c"))
     return done.select(id_col, F.col("c.text").alias(text_col), "c.n_cut")
+
+
+def anchors(words: list[str], gram: int, window: int) -> list[tuple[int, int]]:
+    """(place, hash) of the word grams that are the least of some `window` neighbouring ones, the first of equal ones; a shorter text is one window."""
+    h = [int(hashlib.md5(" ".join(words[i : i + gram]).encode()).hexdigest()[:15], 16) for i in range(len(words) - gram + 1)]
+    if not h:
+        return []
+    views = np.lib.stride_tricks.sliding_window_view(np.array(h, np.int64), min(window, len(h)))
+    return [(int(i), h[i]) for i in np.unique(views.argmin(1) + np.arange(len(views)))]
+
+
+def repeated_passages(docs: DataFrame, least: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id_col, pos, first_doc, first_pos): places where a text repeats half of `least` words of an earlier document or place.
+
+    Any passage of `least` words that occurs twice has such a place, wherever it is: both occurrences have the same least hash among their grams of half that length.
+    So a few hashes a text are shuffled and no suffix array is built. Null texts and those of fewer words than a gram have none.
+    """
+    gram = (least + 1) // 2
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.filter(F.split(F.lower(text_col), r"(?U)\W+"), lambda x: x != "").alias("w")).filter(F.size("w") >= gram)
+
+    def run(batches):
+        for b in batches:
+            out = [(i, p, h) for i, w in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for p, h in anchors(w, gram, least - gram + 1)]
+            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.int64()) for k in range(3)], ["id", "pos", "h"])
+
+    marks = written(rows.mapInArrow(run, "id long, pos long, h long"), "anchors")
+    first = marks.groupBy("h").agg(F.min(F.struct("id", "pos")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("h", "first")
+    again = marks.join(first, "h").filter(F.struct("id", "pos") != F.col("first"))
+    return again.select(F.col("id").alias(id_col), "pos", F.col("first.id").alias("first_doc"), F.col("first.pos").alias("first_pos"))

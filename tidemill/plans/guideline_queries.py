@@ -1,9 +1,11 @@
-"""The 18 guideline rules, each over all documents, with its SQL: stages of lists of lines."""
+"""Truncation, header groups and the 18 guideline rules (G1 to G18), each over all documents, with its SQL: stages of lists of lines."""
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from ..functions import arrow as A
 from ..operators import guidelines as G
 from .registry import query
 from .text_queries import GLYPHS, LISTS, REFS, URLS, newlines, rx, strip
@@ -128,6 +130,22 @@ z as (select doc_id, title, {strip(newlines('t'))} t from e3)""")
     return f"with {', '.join(stages)} select doc_id, title, text from (select doc_id, title, {done} as text, {kept} as kept from z) where kept and length(text) > 0"
 
 
+@query(f"with o as (select doc_id, source title, source title0, text t from documents), {_truncated(G.Rule(('the', 'la'), ('de', 'of'), ('licensed', 'released')))} select doc_id, t as text from c")
+def b14_truncate(spark, load):
+    cut = A.arrow(lambda t: A.truncate(t, ("the", "la"), ("de", "of"), ("licensed", "released")), "string", pa.string())
+    return load("documents").select("doc_id", cut(F.col("text")).alias("text"))
+
+
+@query(f"""with l as (select doc_id, list_transform(string_split(text, {NL}), lambda x: {{'g': []::varchar[], 'h': x}}) l from documents),
+r as (select doc_id, list_reduce(l, lambda a, b: case when not starts_with(b.h, '#') and len(string_split(case when a.h is null then b.h else a.h || {NL} || b.h end, ' ')) >= 32
+  then {{'g': list_append(a.g, case when a.h is null then b.h else a.h || {NL} || b.h end), 'h': null::varchar}} else {{'g': a.g, 'h': case when a.h is null then b.h else a.h || {NL} || b.h end}} end, {{'g': []::varchar[], 'h': null::varchar}}) r from l),
+g as (select doc_id, case when r.h is null then r.g else list_append(r.g, r.h) end g from r)
+select doc_id, (i - 1)::int pos, g[i] as paragraphs from g, lateral (select unnest(range(1, len(g) + 1)) i)""")
+def b27_group_headers(spark, load):
+    f = A.arrow(lambda t: A.group_headers(t.split("\n")), "array<string>", A.STRINGS)
+    return load("documents").select("doc_id", F.posexplode(f(F.col("text"))).alias("pos", "paragraphs"))
+
+
 def _register(n: int, kind: str) -> None:
     def run(spark, load):
         d = load("documents")

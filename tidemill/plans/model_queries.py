@@ -239,13 +239,7 @@ def k13_text_report(spark, load):
 # sequential text
 
 
-@query()
-def b14_truncate(spark, load):
-    f = A.arrow(lambda t: A.truncate(t, ("the", "la"), ("de", "of"), ("licensed", "released")), "string", pa.string())
-    return load("documents").select("doc_id", f(F.col("text")).alias("text"))
-
-
-@query()
+@query(r"""select doc_id, array_to_string(list_filter(regexp_split_to_array(regexp_replace(replace(replace(regexp_replace(text, '[ÅÀÂ]', '', 'g'), 'ﬁ', 'fi'), 'ﬂ', 'fl'), '\[\d+(?:, ?\d+)*\]', '', 'g'), '[\s\p{Z}]+'), lambda x: x <> ''), ' ') as text from documents""")
 def b17_repair_encoding(spark, load):
     return load("documents").select("doc_id", A.arrow(A.repair_encoding, "string", pa.string())(F.col("text")).alias("text"))
 
@@ -277,12 +271,6 @@ def b25_note_sections(spark, load):
     return load("conversations").select("conv_id", "turn", F.explode(f(note)).alias("s")).select("conv_id", "turn", "s.header", "s.text")
 
 
-@query()
-def b27_group_headers(spark, load):
-    f = A.arrow(lambda t: A.group_headers(t.split("\n")), "array<string>", A.STRINGS)
-    return load("documents").select("doc_id", F.posexplode(f(F.col("text"))).alias("pos", "paragraphs"))
-
-
 def _detected(prefix: int) -> str:
     counts = ", ".join(f"len(list_filter(w, lambda x: x in ({', '.join(repr(x) for x in sorted(v))}))) {k}" for k, v in A.COMMON.items())
     most = " ".join(f"when {k} = m then '{k}'" for k in sorted(A.COMMON))
@@ -391,6 +379,16 @@ def d4_span_dedup(spark, load):
     return dedup.span_dedup(load("documents"))
 
 
+@query(r"""with w as (select doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{M}\p{N}_]+'), lambda x: x <> '') w from documents),
+g as (select doc_id, i - 1 pos, ('0x' || substr(md5(array_to_string(w[i:i + 24], ' ')), 1, 15))::bigint h, len(w) - 24 n from w, lateral (select unnest(range(1, len(w) - 23)) i)),
+a as (select distinct doc_id, m.p pos, m.h h from (select doc_id, pos, n, arg_min({'h': h, 'p': pos}, {'h': h, 'p': pos}) over (partition by doc_id order by pos rows between current row and 25 following) m from g) where pos < greatest(n - 25, 1)),
+f as (select *, count(*) over (partition by h) c, first_value({'d': doc_id, 'p': pos}) over (partition by h order by doc_id, pos) f from a)
+select doc_id, pos, f.d first_doc, f.p first_pos from f where c > 1 and not (f.d = doc_id and f.p = pos)""")
+def d5_repeated_passages(spark, load):
+    """Passages of 50 words that occur twice."""
+    return dedup.repeated_passages(load("documents"))
+
+
 @query("select min(doc_id) doc_id, substr(regexp_replace(lower(substr(text, 1, 500)), '[^a-z0-9]', '', 'g'), 1, 500) k from documents group by k")
 def d7_prefix_dedup(spark, load):
     return windows.first_by(load("documents").select("doc_id", T.alnum_key(F.col("text"), 500).alias("k")), ["k"], [F.col("doc_id")])
