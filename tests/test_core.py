@@ -179,6 +179,25 @@ def test_resumed_and_named(spark, tmp_path):
     assert (tmp_path / "m" / "00000002.i4").stat().st_size == 5 * 4 * 4
 
 
+def test_word_classifier(spark):
+    """Against the plain formula; unknown words say nothing, texts without words get the commonest label, and without labels there is none."""
+    rng = random.Random(4)
+    made = [(i, y := rng.choice([0, 1, 1]), " ".join(rng.choice("abcdef"[y : y + 5]) for _ in range(rng.randint(1, 20)))) for i in range(120)]
+    docs = spark.createDataFrame([(i, t) for i, _, t in made] + [(500, None), (501, "zz zz")], "doc_id long, text string")
+    counts = scoring.word_counts(docs)
+    labels = spark.createDataFrame([(i, y) for i, y, _ in made[:80]] + [(3, made[3][1]), (None, 1), (9999, 0)], "doc_id long, label int")
+    got = {r.doc_id: r.predicted for r in scoring.classify(docs, counts, *scoring.train_words(counts, labels)).collect()}
+    from collections import Counter
+    from math import log
+
+    n = {y: Counter(w for _, z, t in made[:80] if z == y for w in t.split()) for y in (0, 1)}
+    v, docs_of = len(set(n[0]) | set(n[1])), Counter(y for _, y, _ in made[:80])
+    score = lambda t, y: log(docs_of[y]) + sum(log((n[y][w] + 1) / (n[y].total() + v)) for w in t.split() if w in n[0] or w in n[1])
+    assert got == {i: max((round(score(t, y), 6), y) for y in (0, 1))[1] for i, _, t in made} | {500: 1, 501: 1}
+    none = scoring.classify(docs, counts, *scoring.train_words(counts, labels.limit(0)))
+    assert {r.predicted for r in none.collect()} == {None}
+
+
 def test_entities(spark):
     docs = spark.createDataFrame([(1, "Aspirin and aspirin, not IBUPROFEN"), (2, None), (3, "")], "doc_id long, text string")
     lexicon = spark.createDataFrame([("ASPIRIN", "drug"), ("aspirin", "drug"), ("ibuprofen", "drug"), ("x", "y")], "entity string, type string")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .dedup import written
 
 
 def likert(logits: Column) -> Column:
@@ -29,3 +31,35 @@ def regroup(docs: DataFrame, kept: DataFrame, key: str) -> DataFrame:
     by = kept.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("para_idx", "para"))).alias("v"), F.avg("score").alias("score"))
     text = by.select(key, F.array_join(F.transform("v", lambda x: x["para"]), "\n\n").alias("text"), "score")
     return docs.drop("text").join(text, key, "left").withColumn("text", F.coalesce("text", F.lit(""))).withColumn("score", F.coalesce("score", F.lit(0.0)))
+
+
+def word_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id_col, word, n) of each text, whatever the case of its words."""
+    word = F.explode(F.filter(F.split(F.lower(text_col), r"(?U)\W+"), lambda x: x != "")).alias("word")
+    return docs.select(id_col, word).groupBy(id_col, "word").agg(F.count("*").alias("n"))
+
+
+def train_words(counts: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> tuple[DataFrame, list[tuple]]:
+    """A multinomial naive Bayes model of word_counts, smoothed by one: (word, label, logp), and (label, prior, logp of a missing word) of each label, of which there are few. labels has (id_col, label)."""
+    known = labels.dropna().dropDuplicates([id_col])
+    n = written(counts.join(known, id_col).groupBy("word", "label").agg(F.sum("n").alias("n")), "word-model")
+    words = n.select("word").distinct().count()
+    docs = known.join(counts.select(id_col).distinct(), id_col, "left_semi").groupBy("label").agg(F.count("*").alias("docs"))
+    total = n.groupBy("label").agg(F.sum("n").alias("total"))
+    prior = [(r.label, math.log(r.docs), -math.log(r.total + words), r.total) for r in docs.join(total, "label").collect()]
+    size = F.create_map(*[F.lit(x) for label, _, _, t in prior for x in (label, float(t + words))]) if prior else F.lit(None).cast("map<int, double>")
+    return n.select("word", "label", F.log((F.col("n") + 1) / size[F.col("label")]).alias("logp")), [p[:3] for p in prior]
+
+
+def classify(docs: DataFrame, counts: DataFrame, model: DataFrame, prior: list[tuple], id_col: str = "doc_id") -> DataFrame:
+    """(id_col, predicted): the label of the greatest posterior, of equal ones the greater; words that the model lacks say nothing. Texts without known words get the commonest label, all null without labels."""
+    labels = F.array(*[F.struct(F.lit(a).alias("label"), F.lit(b).alias("prior"), F.lit(c).alias("none")) for a, b, c in prior])
+    if not prior:
+        return docs.select(id_col, F.lit(None).alias("predicted"))
+    none = F.create_map(*[F.lit(x) for a, _, c in prior for x in (a, c)])
+    words = counts.join(model.select("word").distinct(), "word").groupBy(id_col).agg(F.sum("n").alias("words"))
+    seen = counts.join(model, "word").groupBy(id_col, "label").agg(F.sum(F.col("n") * (F.col("logp") - none[F.col("label")])).alias("more"))
+    every = docs.select(id_col).distinct().join(words, id_col, "left").withColumn("p", F.explode(labels)).select(id_col, "words", "p.*")
+    score = F.col("prior") + F.coalesce("words", F.lit(0)) * F.col("none") + F.coalesce("more", F.lit(0.0))
+    best = every.join(seen, [id_col, "label"], "left").groupBy(id_col).agg(F.max(F.struct(F.round(score, 6).alias("score"), "label")).alias("m"))
+    return best.select(id_col, F.col("m.label").alias("predicted"))

@@ -487,6 +487,19 @@ def l9_rationale_gate(spark, load):
     return load("conversations").select("conv_id", "turn", F.when(ok, p[0]).otherwise("").alias("rationale"))
 
 
+@query(r"""with t as (select doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{M}\p{N}_]+'), lambda x: x <> '')) w from documents), c as (select doc_id, w, count(*) n from t group by all),
+m as (select w, quality, sum(n) n from c join labels using (doc_id) where quality is not null group by all), v as (select count(distinct w) v from m), s as (select quality, sum(n) s from m group by all),
+p as (select quality, ln(count(*)) prior, any_value(s) s, any_value(v) v from labels join documents using (doc_id) join s using (quality), v where quality is not null group by all),
+k as (select doc_id, sum(n) words from c where w in (select w from m) group by all),
+x as (select d.doc_id, p.quality, prior - coalesce(words, 0) * ln(s + v) + coalesce((select sum(c.n * ln(m.n + 1)) from c join m on m.w = c.w and m.quality = p.quality where c.doc_id = d.doc_id), 0) z from documents d left join k using (doc_id), p)
+select doc_id, arg_max(quality, (round(z, 6), quality)) predicted from x group by doc_id""")
+def l6_subset_classifier(spark, load):
+    """Word counts of the labelled documents tell good from bad ones."""
+    labels = load("labels").select("doc_id", F.col("quality").alias("label"))
+    counts = dedup.written(scoring.word_counts(load("documents")), "word-counts")
+    return scoring.classify(load("documents"), counts, *scoring.train_words(counts, labels))
+
+
 @query(r"""with l as (select distinct w as entity from (select unnest(regexp_extract_all(lower(text), '[\p{L}]+')) w from benchmark) where length(w) >= 6),
 d as (select doc_id, w as entity, count(*) mentions from (select doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{M}\p{N}_]+'), lambda x: x <> '')) w from documents) group by all)
 select doc_id, entity, 'term' as type, mentions from d join l using (entity)""")
