@@ -50,19 +50,23 @@ def compress(s: np.ndarray, at: np.ndarray, first: int, min_count: int = 8, rati
     """(symbols, each document's first, rules as rows of left and right) of token ids s; nonterminals start at `first`."""
     s = s.astype(np.int32)
     sizes = np.diff(at)
-    link = np.ones(len(s), bool)  # whether the next id is of the same document
-    link[at[1:][sizes > 0] - 1] = False
-    rules, many = [np.zeros((0, 2), np.int64)], 0
+    end = 1 << _SLOTS  # stands for the place of a document's last id
+    h = np.full(len(s), end)
+    h[:-1] = _place(s[:-1], s[1:])
+    h[at[1:][sizes > 0] - 1] = end
+    seen = np.bincount(h, minlength=end + 1)  # kept up to date from round to round, as h is
+    rules, many, gaps = [np.zeros((0, 2), np.int64)], 0, len(s)
     while len(s) > 1:
-        h = _place(s[:-1], s[1:])
-        h[~link[:-1]] = 1 << _SLOTS
-        seen = np.bincount(h, minlength=(1 << _SLOTS) + 1)
-        seen[-1] = 0
+        if gaps > len(s) // 4:  # ids that go leave gaps for some rounds
+            if many:
+                s, h = s[there], h[there]
+            after, before, there, gaps = np.arange(1, len(s) + 1, dtype=np.int32), np.arange(-1, len(s), dtype=np.int32), np.ones(len(s), bool), 0
+        seen[end] = 0
         least = max(min_count, int(seen.max() * ratio))
         while True:
-            at_pair = np.flatnonzero((seen >= least)[h])  # all that follows looks at pairs that may be frequent alone
+            at_pair = np.flatnonzero((seen >= least).take(h))  # all that follows looks at pairs that may be frequent alone
             key = s[at_pair].astype(np.int64) << 32
-            key |= s[at_pair + 1]
+            key |= s[after[at_pair]]
             found, count = np.unique(key, return_counts=True)
             found, count = found[count >= least], count[count >= least]
             if len(found) or least == min_count:
@@ -72,13 +76,13 @@ def compress(s: np.ndarray, at: np.ndarray, first: int, min_count: int = 8, rati
             break
         found = found[np.lexsort((found, -count))]
         slot = _place(found >> 32, found & 0xFFFFFFFF)
-        table = np.full((1 << _SLOTS) + 1, -1, np.int32)
+        table = np.full(end + 1, -1, np.int32)
         table[slot[::-1]] = np.arange(len(found), dtype=np.int32)[::-1]  # of two pairs in a slot the commoner is done now
         rank = table[h[at_pair]]
         real = np.flatnonzero(rank >= 0)
         real = real[found[rank[real]] == key[real]]
         at_pair, rank = at_pair[real], rank[real]
-        near = at_pair[1:] - at_pair[:-1] == 1
+        near = after[at_pair[:-1]] == at_pair[1:]
         left, right = np.full(len(rank), len(found)), np.full(len(rank), len(found))
         left[1:][near], right[:-1][near] = rank[:-1][near], rank[1:][near]
         place = np.arange(len(rank))
@@ -87,13 +91,22 @@ def compress(s: np.ndarray, at: np.ndarray, first: int, min_count: int = 8, rati
         hit, rank = at_pair[take], rank[take]
         used = np.bincount(rank, minlength=len(found)) > 0
         s[hit] = first + many + (np.cumsum(used) - 1)[rank]
-        link[hit] = link[hit + 1]
         rules.append(np.column_stack([found[used] >> 32, found[used] & 0xFFFFFFFF]))
         many += len(rules[-1])
-        keep = np.ones(len(s), bool)
-        keep[hit + 1] = False
-        s, link = s[keep], link[keep]
-    s, link, made = _pruned(s.astype(np.int64), link, np.concatenate(rules), first)
+        gone, left = after[hit], before[hit]
+        there[gone] = False
+        gaps += len(gone)
+        last, left = h[gone] == end, left[(left >= 0) & there[left] & (h[left] != end)]  # left: its neighbour is a new one
+        seen -= np.bincount(np.concatenate([h[hit], h[gone], h[left]]), minlength=end + 1)
+        after[hit] = after[gone]
+        before[after[hit]] = hit
+        h[hit[last]] = h[gone] = end
+        new = np.concatenate([hit[~last], left])
+        h[new] = _place(s[new], s[after[new]])
+        seen += np.bincount(h[new], minlength=end + 1)
+    if many:
+        s, h = s[there], h[there]
+    s, link, made = _pruned(s.astype(np.int64), h != end, np.concatenate(rules), first)
     left_in = np.zeros(len(sizes), np.int64)
     left_in[sizes > 0] = np.diff(np.concatenate([[-1], np.flatnonzero(~link)]))
     return s, np.concatenate([[0], np.cumsum(left_in)]), made
