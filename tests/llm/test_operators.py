@@ -519,6 +519,44 @@ def test_repair_ties_take_the_smaller_pair():
     assert rules[0].tolist() == [1, 2]
 
 
+class Counted:
+    """A coder that counts the characters it is given."""
+
+    def __init__(self, coder):
+        self.coder, self.chars = coder, 0
+
+    def encode_ordinary(self, text):
+        self.chars += len(text)
+        return self.coder.encode_ordinary(text)
+
+
+def test_repair_encodes_each_different_word_once():
+    """Ids of odd texts are the coder's own, and a word that comes again isn't encoded again."""
+    coder = repair.encoding(open(repair.TOKENIZER, "rb").read())
+    width = repair.widths(coder)
+    rng = random.Random(4)
+    odd = [*"abZ019''.,!-   \n\n\t\r\v\f\x00\x01\x1c\x1f\x7f", "'s", "'ll", "'re", "é", "ß", "中", "😀", "٣", "½", "\u0301", "\u00a0", "\u0085", "\u2003", "\u3000", "\u200b", "\ufeff"]
+    tables = [[""], [None], ["é", "中中", " é"], ["  ", " a", "\n", "'"], ["中" * 3000]]
+    tables += [["".join(rng.choices(odd[: rng.choice([12, 27, 99])], k=rng.randrange(40))) for _ in range(rng.randrange(1, 120))] for _ in range(150)]
+    for table in tables:
+        ids, at = repair.token_ids(pa.array([t or "" for t in table], pa.large_string()), coder, width)
+        assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [coder.encode_ordinary(t or "") for t in table]
+    counted = Counted(coder)
+    words = [f"word{k}, né{k} don't" for k in range(50)]
+    texts = [" ".join(rng.choices(words, k=40)) for _ in range(200)]
+    repair.token_ids(pa.array(texts, pa.large_string()), counted, width)
+    assert counted.chars < sum(map(len, texts)) / 20
+
+
+def test_repair_goes_by_other_patterns(spark):
+    """A pattern of the caller's own has other parts than the default one."""
+    pattern = r"[^ ]+ ?| "
+    coder = repair.encoding(open(repair.TOKENIZER, "rb").read(), pattern)
+    texts = ["it's a test, isn't it  1a", "", "x y"]
+    got = repair.token_shards(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1), pattern=pattern, min_count=99).filter("kind = 'doc'").collect()
+    assert {r.doc_id: np.frombuffer(r.symbols, np.int32).tolist() for r in got} == {k: coder.encode_ordinary(t) for k, t in enumerate(texts)}
+
+
 def brute_vectors(x, threshold=0.95):
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
     cos = unit @ unit.T

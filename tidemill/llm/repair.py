@@ -1,6 +1,6 @@
 """Token ids as binary shards, compressed by Re-Pair grammars.
 
-Documents are tokenised with a byte-level BPE whose vocabulary file is named by a parameter. Within a shard (about shard_bytes of text) frequent
+Documents are tokenised with a byte-level BPE whose vocabulary file is named by a parameter; by the default pattern each different word of a shard is encoded once. Within a shard (about shard_bytes of text) frequent
 pairs of neighbouring ids are replaced by nonterminals again and again, until no pair is found min_count times. A round replaces all pairs that are found at least `ratio` times as often as
 the most frequent one, so that hundreds of rounds do what a round for each pair would; where two of them overlap the more frequent one (of equal ones the smaller pair of ids), then the left one, wins. At the end
 rules that are used once in the text are taken back. Pairs never cross documents. A shard's rules and their expansion lengths are
@@ -18,6 +18,7 @@ import base64
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,6 +37,60 @@ def encoding(vocabulary: bytes, pattern: str = PATTERN):
     return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
+#: Kinds of bytes: 1 letter, 2 digit, 3 mark, 4 apostrophe, 5 space, 6 other white space; 0 control characters and all outside ASCII.
+_KIND = np.zeros(256, np.uint8)
+_KIND[0x21:0x7F], _KIND[ord("'")], _KIND[ord(" ")], _KIND[9:14] = 3, 4, 5, 6
+_KIND[48:58], _KIND[65:91], _KIND[97:123] = 2, 1, 1
+#: Pairs of kinds, as 8 * one + next, between which PATTERN always parts.
+_PARTED = np.zeros(256, np.uint8)
+_PARTED[[8 * a + b for a, b in [(1, 2), (1, 3), (1, 4), (2, 1), (2, 3), (2, 4), (3, 1), (3, 2)] + [(a, b) for a in (1, 2, 3, 4) for b in (5, 6)]]] = 1
+
+
+def widths(coder) -> np.ndarray:
+    """Bytes of each token."""
+    out = np.zeros(coder.n_vocab, np.int64)
+    for token in coder.token_byte_values():
+        out[coder.encode_single_token(token)] = len(token)
+    return out
+
+
+def token_ids(texts: pa.Array, coder, width: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ids by PATTERN, each text's first, plus the total) of a slice from text.chunks(): the same as encode_ordinary's of each text.
+
+    Texts are cut where PATTERN parts them whatever is around: before a space that a visible ASCII character follows, and between kinds of ASCII.
+    A unit's tokens don't hang on its neighbours, so each different one is encoded once, all of them in one call."""
+    raw, off = text.buffer(texts)
+    kind = np.frombuffer(raw.tobytes().translate(_KIND.tobytes()), np.uint8)
+    cut = np.zeros(len(raw) + 1, bool)
+    cut[1:-1] = np.frombuffer((kind[:-1] << 3 | kind[1:]).tobytes().translate(_PARTED.tobytes()), bool)
+    cut[:-2] |= (kind[:-1] == 5) & (kind[1:] - np.uint8(1) < 4)
+    cut[off] = True
+    cut = np.flatnonzero(cut)
+    units = pa.LargeStringArray.from_buffers(len(cut) - 1, pa.py_buffer(cut), pa.py_buffer(raw)).dictionary_encode()
+    which, units = np.asarray(units.indices), units.dictionary
+    raw, at = text.buffer(units)
+    one, two = _KIND[raw[at[:-1]]], _KIND[raw[np.minimum(at[:-1] + 1, len(raw) - 1)]]
+    before = np.where((one == 5) & (np.diff(at) > 1) & (two > 0) & (two < 5), 0, np.where(one == 1, 1, 2))  # what makes a unit start with a space and a visible character
+    alone = np.flatnonzero(one == 0)
+    together = np.flatnonzero(one)
+    before = before[together]
+    lead = pa.array(["", " 0", " a"], pa.large_string()).take(pa.array(before))
+    raw, at = text.buffer(pc.binary_join_element_wise(lead, units.take(pa.array(together)), pa.scalar("", pa.large_string())))
+    ids = [np.array(coder.encode_ordinary(raw.tobytes().decode()), np.int32)]
+    end = np.cumsum(width[ids[0]])
+    start, stop = np.zeros(len(units), np.int64), np.zeros(len(units), np.int64)
+    start[together] = np.searchsorted(end, at[:-1] + np.where(before, 2, 0), "right")
+    stop[together] = np.searchsorted(end, at[1:], "right")
+    ids += [np.array(coder.encode_ordinary(t), np.int32) for t in units.take(pa.array(alone)).to_pylist()]
+    stop[alone] = np.cumsum([len(x) for x in ids])[1:]
+    start[alone] = stop[alone] - [len(x) for x in ids[1:]]
+    ids, many = np.concatenate(ids), (stop - start)[which]
+    end = np.cumsum(many)
+    place = np.repeat(start[which] - (end - many), many)
+    place += np.arange(len(place))
+    return ids[place], np.concatenate([[0], end])[np.searchsorted(cut, off)]
+
+
 _SLOTS = 18  # bits of a pair's place in the table of counts
 
 
@@ -177,15 +232,18 @@ def token_shards(docs: DataFrame, tokenizer: str = TOKENIZER, pattern: str = PAT
 
     def run(batches):
         coder = encoding(vocabulary, pattern)
-        first = coder.n_vocab
+        first, width = coder.n_vocab, widths(coder)
         shard = TaskContext.get().partitionId() << 32
         for b in batches:
             ids, there = b.column(0), b.column(1).is_valid().to_pylist()
             for a, part in text.chunks(b.column(1), shard_bytes):
-                tokens = [coder.encode_ordinary(t) for t in part.to_pylist()]
-                size = np.array([len(t) for t in tokens])
-                flat = np.concatenate([np.array(t, np.int64) for t in tokens]) if len(tokens) else np.zeros(0, np.int64)
-                s, at, rules = compress(flat, np.concatenate([[0], np.cumsum(size)]), first, min_count)
+                if pattern == PATTERN:
+                    flat, at = token_ids(part, coder, width)
+                else:
+                    tokens = [coder.encode_ordinary(t) for t in part.to_pylist()]
+                    flat, at = np.concatenate([np.array(t, np.int32) for t in tokens]), np.concatenate([[0], np.cumsum([len(t) for t in tokens])])
+                size = np.diff(at)
+                s, at, rules = compress(flat, at, first, min_count)
                 s = s.astype("<i4")
                 n, real = len(part), there[a : a + len(part)]
                 yield pa.RecordBatch.from_arrays(
