@@ -538,7 +538,7 @@ def test_repair_encodes_each_different_word_once():
     odd = [*"abZ019''.,!-   \n\n\t\r\v\f\x00\x01\x1c\x1f\x7f", "'s", "'ll", "'re", "é", "ß", "中", "😀", "٣", "½", "\u0301", "\u00a0", "\u0085", "\u2003", "\u3000", "\u200b", "\ufeff"]
     tables = [[""], [None], ["é", "中中", " é"], ["  ", " a", "\n", "'"], ["中" * 3000]]
     tables += [["".join(rng.choices(odd[: rng.choice([12, 27, 99])], k=rng.randrange(40))) for _ in range(rng.randrange(1, 120))] for _ in range(150)]
-    for table in tables:
+    for table in tables + [t * 3 for t in tables]:  # with most words different, and with none that is there once
         ids, at = repair.token_ids(pa.array([t or "" for t in table], pa.large_string()), coder, width)
         assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [coder.encode_ordinary(t or "") for t in table]
     counted = Counted(coder)

@@ -54,12 +54,19 @@ def widths(coder) -> np.ndarray:
     return out
 
 
+def plain_ids(texts: pa.Array, coder) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, each text's first, plus the total), text by text."""
+    ids = [np.array(coder.encode_ordinary(t), np.int32) for t in texts.to_pylist()]
+    return np.concatenate([np.zeros(0, np.int32), *ids]), np.cumsum([0] + [len(x) for x in ids])
+
+
 def token_ids(texts: pa.Array, coder, width: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(ids by PATTERN, each text's first, plus the total) of a slice from text.chunks(): the same as encode_ordinary's of each text.
+    """What plain_ids gives by PATTERN, of a slice from text.chunks().
 
     Texts are cut where PATTERN parts them whatever is around: before a space that a visible ASCII character follows, and between kinds of ASCII.
-    A unit's tokens don't hang on its neighbours, so each different one is encoded once, all of them in one call."""
+    A unit's tokens don't hang on its neighbours, so each different one is encoded once, all of them in one call, unless most of the text is different ones."""
     raw, off = text.buffer(texts)
+    size = len(raw)
     kind = np.frombuffer(raw.tobytes().translate(_KIND.tobytes()), np.uint8)
     cut = np.zeros(len(raw) + 1, bool)
     cut[1:-1] = np.frombuffer((kind[:-1] << 3 | kind[1:]).tobytes().translate(_PARTED.tobytes()), bool)
@@ -69,6 +76,8 @@ def token_ids(texts: pa.Array, coder, width: np.ndarray) -> tuple[np.ndarray, np
     units = pa.LargeStringArray.from_buffers(len(cut) - 1, pa.py_buffer(cut), pa.py_buffer(raw)).dictionary_encode()
     which, units = np.asarray(units.indices), units.dictionary
     raw, at = text.buffer(units)
+    if 5 * len(raw) > 3 * size or not size:
+        return plain_ids(texts, coder)
     one, two = _KIND[raw[at[:-1]]], _KIND[raw[np.minimum(at[:-1] + 1, len(raw) - 1)]]
     before = np.where((one == 5) & (np.diff(at) > 1) & (two > 0) & (two < 5), 0, np.where(one == 1, 1, 2))  # what makes a unit start with a space and a visible character
     alone = np.flatnonzero(one == 0)
@@ -110,16 +119,17 @@ def compress(s: np.ndarray, at: np.ndarray, first: int, min_count: int = 8, rati
     h[:-1] = _place(s[:-1], s[1:])
     h[at[1:][sizes > 0] - 1] = end
     seen = np.bincount(h, minlength=end + 1)  # kept up to date from round to round, as h is
-    rules, many, gaps = [np.zeros((0, 2), np.int64)], 0, len(s)
+    rules, many, gaps, live = [np.zeros((0, 2), np.int64)], 0, len(s), None
     while len(s) > 1:
         if gaps > len(s) // 4:  # ids that go leave gaps for some rounds
             if many:
                 s, h = s[there], h[there]
+            live = None
             after, before, there, gaps = np.arange(1, len(s) + 1, dtype=np.int32), np.arange(-1, len(s), dtype=np.int32), np.ones(len(s), bool), 0
         seen[end] = 0
         least = max(min_count, int(seen.max() * ratio))
         while True:
-            at_pair = np.flatnonzero((seen >= least).take(h))  # all that follows looks at pairs that may be frequent alone
+            at_pair = np.flatnonzero((seen >= least).take(h)) if live is None else live[seen[h[live]] >= least]  # all that follows looks at pairs that may be frequent alone
             key = s[at_pair].astype(np.int64) << 32
             key |= s[after[at_pair]]
             found, count = np.unique(key, return_counts=True)
@@ -135,6 +145,7 @@ def compress(s: np.ndarray, at: np.ndarray, first: int, min_count: int = 8, rati
         table[slot[::-1]] = np.arange(len(found), dtype=np.int32)[::-1]  # of two pairs in a slot the commoner is done now
         rank = table[h[at_pair]]
         real = np.flatnonzero(rank >= 0)
+        live = at_pair[real] if least == min_count else None  # from here on a pair is frequent only if it is so now or is new, as pairs lose places once they are there
         real = real[found[rank[real]] == key[real]]
         at_pair, rank = at_pair[real], rank[real]
         near = after[at_pair[:-1]] == at_pair[1:]
@@ -158,6 +169,7 @@ def compress(s: np.ndarray, at: np.ndarray, first: int, min_count: int = 8, rati
         h[hit[last]] = h[gone] = end
         new = np.concatenate([hit[~last], left])
         h[new] = _place(s[new], s[after[new]])
+        live = None if live is None else np.union1d(live, new)
         seen += np.bincount(h[new], minlength=end + 1)
     if many:
         s, h = s[there], h[there]
@@ -237,11 +249,7 @@ def token_shards(docs: DataFrame, tokenizer: str = TOKENIZER, pattern: str = PAT
         for b in batches:
             ids, there = b.column(0), b.column(1).is_valid().to_pylist()
             for a, part in text.chunks(b.column(1), shard_bytes):
-                if pattern == PATTERN:
-                    flat, at = token_ids(part, coder, width)
-                else:
-                    tokens = [coder.encode_ordinary(t) for t in part.to_pylist()]
-                    flat, at = np.concatenate([np.array(t, np.int32) for t in tokens]), np.concatenate([[0], np.cumsum([len(t) for t in tokens])])
+                flat, at = token_ids(part, coder, width) if pattern == PATTERN else plain_ids(part, coder)
                 size = np.diff(at)
                 s, at, rules = compress(flat, at, first, min_count)
                 s = s.astype("<i4")
