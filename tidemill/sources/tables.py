@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as TY
@@ -31,8 +33,15 @@ def read_jsonl(spark: SparkSession, path: str, schema: str | TY.StructType, leni
     return reader.option("mode", "DROPMALFORMED").option("ignoreCorruptFiles", "true").json(path) if lenient else reader.json(path)
 
 
+#: Fields keep their white space, line breaks of any kind and backslashes.
+_CSV = {"header": True, "escape": '"', "lineSep": "\n", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
 def read_csv(spark: SparkSession, path: str, schema: str | TY.StructType) -> DataFrame:
-    return spark.read.schema(schema).csv(path, header=True, multiLine=True, escape='"')
+    """Quoted empty fields are empty texts, bare ones null: a mark that no file has stands for the former while the reader tells them apart."""
+    mark = uuid.uuid4().hex
+    df = spark.read.schema(schema).csv(path, multiLine=True, nullValue="", emptyValue=mark, **_CSV)
+    return df.select(*[F.when(F.col(c) == mark, "").otherwise(F.col(c)).alias(c) if kind == "string" else F.col(c) for c, kind in df.dtypes])
 
 
 def read_piped(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -88,7 +97,7 @@ def write_jsonl(df: DataFrame, path: str, mode: str = "errorifexists", compressi
 
 def write_csv(df: DataFrame, path: str, one_file: bool = False) -> None:
     """one_file is for small reports."""
-    (df.coalesce(1) if one_file else df).write.csv(path, header=True, escape='"')
+    (df.coalesce(1) if one_file else df).write.csv(path, **_CSV)
 
 
 def write_lines(df: DataFrame, column: str, path: str) -> None:
