@@ -12,3 +12,19 @@ def test_csv_keeps_white_space_line_breaks_and_empty_texts(spark, tmp_path):
     got = S.read_csv(spark, str(tmp_path / "csv"), df.schema)
     assert got.schema == df.schema
     assert {r.id: r.text for r in got.collect()} == dict(enumerate(texts))
+
+
+def test_line_repetition_rounds_and_splits_like_its_sql(spark, tmp_path):
+    import duckdb
+
+    from tidemill.plans.table_queries import c6_line_repetition
+    from tidemill.plans.registry import ORACLE_SQL
+
+    # 41 of 5120 characters is a half at the tenth place; the others have breaks, edges and emptiness of many kinds
+    texts = ["x" * 41 + "\n" + "x" * 41 + "\n" + "y" * (5120 - 84), None, "", " ", "a\rb\ra", "\x85a\na", "\x0ba\na", "a\x1ca", " a\na a", "x\n\n\nx\n\nx\r"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: tuple(map(repr, r[1:])) for r in c6_line_repetition(spark, lambda name: docs).collect()}
+    docs.write.parquet(str(tmp_path / "documents"))
+    c = duckdb.connect()
+    c.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents/*.parquet')")
+    assert got == {r[0]: tuple(map(repr, r[1:])) for r in c.execute(ORACLE_SQL["c6_line_repetition"]).fetchall()}

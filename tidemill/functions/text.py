@@ -16,6 +16,11 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, EDGES, "")
 
 
+def rounded(c: Column, places: int) -> Column:
+    """A double scaled, rounded to a whole number and scaled back, as SQL engines do; F.round goes by the decimal digits and differs at halves."""
+    return F.round(c * float(10**places), 0) / float(10**places)
+
+
 def chain(c: Column, *steps: tuple[str, str]) -> Column:
     """Regular expressions replaced one after the other."""
     return reduce(lambda x, s: F.regexp_replace(x, s[0], s[1]), steps, c)

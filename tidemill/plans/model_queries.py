@@ -431,7 +431,7 @@ select d.doc_id, coalesce(k.text, '') as text, round(coalesce(s, 0), 9) score fr
 def l3_score_and_filter(spark, load):
     p = scoring.scored_paragraphs(load("documents"), "doc_id", lambda c: F.length(c) / (F.length(c) + 100.0), r"\n")
     kept = p.filter(sampling.keep_by_score(F.col("score"), 0.65, 0.5, F.concat_ws("-", "doc_id", "para_idx")))
-    return scoring.regroup(load("documents"), kept, "doc_id").select("doc_id", "text", F.round("score", 9).alias("score"))
+    return scoring.regroup(load("documents"), kept, "doc_id").select("doc_id", "text", T.rounded(F.col("score"), 9).alias("score"))
 
 
 @query("""with d as (select a.vec_id query_id, b.vec_id, round(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: (p[1]::double - p[2]::double) * (p[1]::double - p[2]::double))), 6) distance from embeddings a, embeddings b),
