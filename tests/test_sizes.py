@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+
+from tidemill.functions import arrow as A
+from tidemill.operators import dedup, guidelines
 from tidemill.sources import tables as S
 
 
@@ -28,3 +32,38 @@ def test_line_repetition_rounds_and_splits_like_its_sql(spark, tmp_path):
     c = duckdb.connect()
     c.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents/*.parquet')")
     assert got == {r[0]: tuple(map(repr, r[1:])) for r in c.execute(ORACLE_SQL["c6_line_repetition"]).fetchall()}
+
+
+def test_guideline_batches_are_worked_on_in_small_parts():
+    """Python's memory goes with the part, not with the batch that Spark sends."""
+    n, text = 3000, "one two three four five six seven eight nine ten eleven\n" * 4
+    parts = pa.list_(pa.struct([("name", pa.string()), ("text", pa.string())]))
+    for kind in ("wikidoc", "rch", "mayo", "nice"):
+        b = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array([kind] * n), pa.array(["t"] * n), pa.array([text] * n), pa.array([None] * n, parts), pa.array([None] * n, pa.string())], ["doc_id", "kind", "title", "text", "sections", "overview"])
+        got = list(guidelines.cleaned_batches([b]))
+        assert sum(map(len, got)) == n and max(map(len, got)) <= 256
+        assert pa.Table.from_batches(got).column("text").to_pylist() == [guidelines.guideline(kind, "t", text)[1]] * n
+
+
+def test_slices_are_bounded_in_bytes():
+    b = pa.RecordBatch.from_arrays([pa.array(["x" * 100_000] * 500)], ["t"])
+    got = list(A.slices(b))
+    assert sum(map(len, got)) == 500 and max(g.nbytes for g in got) <= 1 << 20
+    assert list(A.slices(b.slice(0, 0))) == []
+
+
+def test_sections_or_text_travel_to_the_rules(spark):
+    rows = [(1, "mayo", "t", "own text", [("a", "some text")], "o"), (2, "nice", "t", "own text", None, "o"), (3, "rch", "t", "own text", [("a", "some text")], "o"), (4, "mayo", "t", None, [("a", "x")], "o"), (5, "mayo", "t", "own", [], "o")]
+    df = spark.createDataFrame(rows, "doc_id long, kind string, title string, text string, sections array<struct<name: string, text: string>>, overview string")
+    got = {r.doc_id: (r.title, r.text) for r in guidelines.clean_guidelines(df).collect()}
+    parts = [(i, k, t, x, None if s is None else [{"name": a, "text": b} for a, b in s], o) for i, k, t, x, s, o in rows]
+    want = {i: guidelines.guideline(k, t, x, s, o) for i, k, t, x, s, o in parts}
+    assert got == {i: w for i, w in want.items() if w and w[1]}
+
+
+def test_anchor_batches_are_worked_on_in_small_parts():
+    words = [f"w{k}" for k in range(60)]
+    b = pa.RecordBatch.from_arrays([pa.array(range(200)), pa.array([words] * 200)], ["id", "w"])
+    got = list(dedup.anchor_batches([b], 25, 26))
+    assert len(got) >= 200 / 16 and max(len(g) for g in got) <= 16 * len(dedup.anchors(words, 25, 26))
+    assert pa.Table.from_batches(got).num_rows == 200 * len(dedup.anchors(words, 25, 26))

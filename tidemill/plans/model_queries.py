@@ -250,7 +250,7 @@ def b18_assemble_article(spark, load):
     rows = load("conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("v"))
 
     def run(batches):
-        for b in batches:
+        for b in (part for whole in batches for part in A.slices(whole)):
             out = []
             for i, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 out.append(A.assemble_article(str(i), v[0]["text"], "<!>".join(x["role"] for x in v), "<!>".join(x["text"] for x in v)))
