@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+from collections.abc import Iterable
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.arrow import slices
+
 
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new place in the folder of spark.checkpoint.dir, or below the warehouse where that is unset and all runs on this machine (tests)."""
@@ -120,8 +124,11 @@ def span_dedup(docs: DataFrame, span: int = 3, id_col: str = "doc_id", text_col:
 
     @F.arrow_udf("text string, n_cut long")
     def cut(texts: pa.Array, places: pa.Array) -> pa.Array:
-        got = [(t, None if t is None else 0) if t is None or not p else _without(t, p, span, split) for t, p in zip(texts.to_pylist(), places.to_pylist())]
-        return pa.StructArray.from_arrays([pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.int64())], ["text", "n_cut"])
+        done = []
+        for part in slices(pa.RecordBatch.from_arrays([texts, places], ["t", "p"])):
+            got = [(t, None if t is None else 0) if t is None or not p else _without(t, p, span, split) for t, p in zip(*(c.to_pylist() for c in part.columns))]
+            done.append(pa.StructArray.from_arrays([pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.int64())], ["text", "n_cut"]))
+        return pa.concat_arrays(done) if done else pa.array([], pa.struct([("text", pa.string()), ("n_cut", pa.int64())]))
 
     done = rows.select(id_col, text_col).join(again, id_col, "left").select(id_col, cut(F.col(text_col), F.col("places")).alias("c"))
     return done.select(id_col, F.col("c.text").alias(text_col), "c.n_cut")
@@ -136,6 +143,13 @@ def anchors(words: list[str], gram: int, window: int) -> list[tuple[int, int]]:
     return [(int(i), h[i]) for i in np.unique(views.argmin(1) + np.arange(len(views)))]
 
 
+def anchor_batches(batches: Iterable[pa.RecordBatch], gram: int, window: int) -> Iterable[pa.RecordBatch]:
+    """(id, pos, h) of the anchors in batches of (id, words), some texts at a time."""
+    for b in (part for whole in batches for part in slices(whole, 16)):
+        out = [(i, p, h) for i, w in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for p, h in anchors(w, gram, window)]
+        yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.int64()) for k in range(3)], ["id", "pos", "h"])
+
+
 def repeated_passages(docs: DataFrame, least: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, pos, first_doc, first_pos): places where a text repeats half of `least` words of an earlier document or place.
 
@@ -145,12 +159,7 @@ def repeated_passages(docs: DataFrame, least: int = 50, id_col: str = "doc_id",
     gram = (least + 1) // 2
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.filter(F.split(F.lower(text_col), r"(?U)\W+"), lambda x: x != "").alias("w")).filter(F.size("w") >= gram)
 
-    def run(batches):
-        for b in batches:
-            out = [(i, p, h) for i, w in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for p, h in anchors(w, gram, least - gram + 1)]
-            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.int64()) for k in range(3)], ["id", "pos", "h"])
-
-    marks = written(rows.mapInArrow(run, "id long, pos long, h long"), "anchors")
+    marks = written(rows.mapInArrow(partial(anchor_batches, gram=gram, window=least - gram + 1), "id long, pos long, h long"), "anchors")
     first = marks.groupBy("h").agg(F.min(F.struct("id", "pos")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("h", "first")
     again = marks.join(first, "h").filter(F.struct("id", "pos") != F.col("first"))
     return again.select(F.col("id").alias(id_col), "pos", F.col("first.id").alias("first_doc"), F.col("first.pos").alias("first_pos"))
