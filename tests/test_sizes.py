@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 
 from tidemill.functions import arrow as A
-from tidemill.operators import dedup, guidelines
+from tidemill.operators import dedup, guidelines, vectors
 from tidemill.sources import tables as S
 
 
@@ -67,3 +68,48 @@ def test_anchor_batches_are_worked_on_in_small_parts():
     got = list(dedup.anchor_batches([b], 25, 26))
     assert len(got) >= 200 / 16 and max(len(g) for g in got) <= 16 * len(dedup.anchors(words, 25, 26))
     assert pa.Table.from_batches(got).num_rows == 200 * len(dedup.anchors(words, 25, 26))
+
+
+def _nearest(q, x, ids, k, places, mask=None):
+    out = []
+    for i in range(len(q)):
+        d = vectors._round(((q[i] - x) ** 2).sum(1), places)
+        order = np.lexsort((ids, d))
+        order = order if mask is None else order[mask[i][order]]
+        out += [(i, int(ids[j]), float(d[j])) for j in order[:k]]
+    return out
+
+
+def test_nearest_breaks_ties_of_rounded_distances_by_id():
+    r = np.random.default_rng(1)
+    x = r.normal(size=(9000, 8))
+    x[100:6000] = x[50]
+    q = np.concatenate([x[:150], x[6000:6150]])
+    for ids in (np.arange(9000) * 3, r.permutation(9000)):
+        for places in (9, 2):
+            got = vectors.nearest(q, x, ids, 7, places=places)
+            assert list(zip(*(g.tolist() for g in got))) == _nearest(q, x, ids, 7, places)
+    far = q[:20] * 1e17
+    assert list(zip(*(g.tolist() for g in vectors.nearest(far, far, np.arange(20), 1)))) == _nearest(far, far, np.arange(20), 1, 9)
+
+
+def test_knn_in_blocks_of_a_bounded_size(spark, monkeypatch):
+    """Tables of many blocks and a cell that is larger than one give what brute force gives."""
+    r = np.random.default_rng(2)
+    x = r.integers(0, 4, size=(1200, 4)).astype(float)
+    x[:400] = x[0] + r.normal(size=(400, 4)) / 100
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<float>")
+    x = x.astype(np.float32).astype(float)
+    monkeypatch.setattr(vectors, "BLOCK_VALUES", 400)
+    a, b = vectors._grid(spark, 1200, 1200, 4)
+    assert a >= 12 and b >= 12
+    q = df.filter("id % 4 = 0")
+    got = sorted((g.query_id, g["rank"], g.vec_id, g.distance) for g in vectors.knn(q, df, 5, places=6).collect())
+    want = _nearest(x[::4], x, np.arange(1200), 5, 6)
+    assert got == [(4 * i, k % 5 + 1, j, d) for k, (i, j, d) in enumerate(want)]
+    c = x[[0, 500, 700, 900, 1100]]
+    got = sorted((g.query_id, g["rank"], g.vec_id, g.distance) for g in vectors.knn_cells(q, df, 5, c, 2).collect())
+    near = np.argsort(vectors._distance(x[::4], c, "l2"), axis=1, kind="stable")[:, :2]
+    mask = (vectors._distance(x, c, "l2").argmin(1)[None, :, None] == near[:, None, :]).any(2)
+    want = _nearest(x[::4], x, np.arange(1200), 5, 9, mask)
+    assert [(i, j, d) for i, _, j, d in got] == [(4 * i, j, d) for i, j, d in want]
