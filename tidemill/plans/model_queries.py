@@ -437,8 +437,8 @@ def l3_score_and_filter(spark, load):
 @query("""with d as (select a.vec_id query_id, b.vec_id, round(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: (p[1]::double - p[2]::double) * (p[1]::double - p[2]::double))), 6) distance from embeddings a, embeddings b),
 r as (select *, row_number() over (partition by query_id order by distance, vec_id) as rank from d) select query_id, vec_id, distance, rank from r where rank <= 10""")
 def l4_knn_exact(spark, load):
-    v = load("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
-    return vectors.knn(v, v, 10).select("query_id", "vec_id", F.round("distance", 6).alias("distance"), F.col("rank").cast("long").alias("rank"))
+    v = load("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    return vectors.knn(v, v, 10, places=6).select("query_id", "vec_id", F.round("distance", 6).alias("distance"), F.col("rank").cast("long").alias("rank"))
 
 
 @query("""with d as (select a.vec_id query_id, b.vec_id, round(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: (p[1]::double - p[2]::double) * (p[1]::double - p[2]::double))), 6) distance from embeddings a, embeddings b where a.vec_id % 20 = 0),
@@ -454,7 +454,7 @@ def k10_vector_index(spark, load):
 
 @query()
 def l4_knn_cells(spark, load):
-    v = load("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+    v = load("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
     cells = max(1, round(v.count() ** 0.5))
     centroids = vectors.train_cells(v, cells)
     return vectors.knn_cells(v, v, 10, centroids, vectors.choose_probes(v, v, 10, centroids))
@@ -463,7 +463,7 @@ def l4_knn_cells(spark, load):
 @query()
 def l5_context_path(spark, load):
     """A path through each whole component of the neighbour graph, named by its smallest id; one component is one task, as the walk is sequential."""
-    v = load("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+    v = load("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
     near = vectors.knn(v, v, 4).filter("query_id <> vec_id")
     edges = dedup.written(near.groupBy(F.least("query_id", "vec_id").alias("a"), F.greatest("query_id", "vec_id").alias("b")).agg(F.min("distance").alias("w")), "near")
     cluster = dedup.components(edges)
