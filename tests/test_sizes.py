@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from tidemill.functions import arrow as A
-from tidemill.operators import dedup, guidelines, vectors
+from tidemill.functions import text as T
+from tidemill.functions import words
+from tidemill.operators import dedup, filters, guidelines, vectors
 from tidemill.sources import tables as S
 
 
@@ -134,3 +137,43 @@ def test_few_shot_sorts_no_pairs(spark, tmp_path):
         t.write.parquet(str(tmp_path / name))
         c.execute(f"create view {name} as select * from read_parquet('{tmp_path}/{name}/*.parquet')")
     assert sorted(map(tuple, df.collect())) == sorted(c.execute(ORACLE_SQL["i14_few_shot"]).fetchall())
+
+
+def test_repetition_of_many_texts_at_once():
+    """Grams of a whole batch are sorted together; each text has what it has alone."""
+    r = np.random.default_rng(3)
+    sizes = [0, 1, 3, 200, 9, 60, 2, 500, 0]
+    h = np.concatenate([r.integers(0, m, n) for n, m in zip(sizes, (1, 1, 1, 4, 1, 30, 1, 3, 1))]).astype(np.uint64)
+    chars, at = (h.astype(np.int64) % 4) + 1, np.concatenate([[0], np.cumsum(sizes)])
+    got = words.repetitions(h, chars, at, (2, 3, 4), (5, 6, 7, 8, 9, 10))
+    assert got.shape == (9, 9)
+    for k in range(9):
+        a, b = at[k], at[k + 1]
+        tokens, upto = h[a:b].tolist(), np.concatenate([[0], np.cumsum(chars[a:b])])
+        want = []
+        for n in (2, 3, 4):
+            grams = [tuple(tokens[i : i + n]) for i in range(len(tokens) - n + 1)]
+            best = max(grams, key=grams.count, default=None)
+            i = grams.index(best) if grams else 0
+            want.append(int(upto[i + n] - upto[i] + n - 1) * grams.count(best) if grams else 0)
+        for n in (5, 6, 7, 8, 9, 10):
+            seen, total, i = set(), 0, 0
+            while i + n <= len(tokens):
+                g = tuple(tokens[i : i + n])
+                total += int(upto[i + n] - upto[i]) if g in seen else 0
+                i += n if g in seen else 1
+                seen.add(g)
+            want.append(total)
+        assert got[k].tolist() == want
+
+
+def test_line_parts_are_made_once(spark):
+    df = filters.repetition_reason(spark.createDataFrame([(1, "a\na")], "id long, text string"))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("transform(split(text") == 1
+    assert df.first().reason == "dup_line_frac"
+
+
+def test_strip_takes_all_white_space(spark):
+    got = spark.createDataFrame([(c, f"{chr(c)}a{chr(c)}") for c in range(1, 0x10000) if not 0xD800 <= c < 0xE000], "c int, t string").select("c", T.strip(F.col("t")).alias("s"), F.regexp_replace("t", r"(?U)^\s+|\s+$", "").alias("want"))
+    assert got.filter("s <> want").count() == 0 and got.filter("s = 'a'").count() == len(T.SPACES)

@@ -8,12 +8,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 WORD_BREAK = r"(?U)\W+"
-EDGES = r"(?U)^\s+|\s+$"
+#: Separators, and with them all white space.
+SEPARATORS = " \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+SPACES = "\t\n\x0b\f\r\x85" + SEPARATORS
 
 
 def strip(c: Column) -> Column:
-    """Without white space of any kind at both ends."""
-    return F.regexp_replace(c, EDGES, "")
+    """Without white space of any kind at both ends. (Only one argument: F.transform gives a second one the place.)"""
+    return F.btrim(c, F.lit(SPACES))
 
 
 def rounded(c: Column, places: int) -> Column:
@@ -219,7 +221,7 @@ def strip_markup(c: Column) -> Column:
 
 def lm_text(prompt: Column, completion: Column, marker: str = "# ANSWER") -> Column:
     """Prompt and completion as one text; the prompt has to end with its answer mark."""
-    ends = F.regexp_replace(prompt, EDGES, "").endswith(marker)
+    ends = strip(prompt).endswith(marker)
     return F.when(ends, F.concat(strip(prompt), F.lit("\n"), strip(completion))).otherwise(F.raise_error(F.lit(f"a prompt doesn't end with {marker}")))
 
 

@@ -115,44 +115,68 @@ def token_hashes(points: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.n
     return _mix(total[at[1:]] - total[at[:-1]])
 
 
-def _grams(h: np.ndarray, n: int) -> np.ndarray:
-    acc = np.zeros(max(0, len(h) - n + 1), _U)
-    for k in range(n):
-        acc = _mix(acc * _U(0xD6E8FEB86659FD93) + h[k : k + len(acc)])
-    return acc
-
-
-def _greedy(grams: list[int], n: int, upto: np.ndarray) -> int:
-    """Characters in n-grams seen before, from left to right, jumping over each hit."""
+def _grams(h: np.ndarray, most: int):
+    """(n, hashes of the n-grams of h) for n from 1 to most: one step each, from those before."""
+    acc = np.zeros(len(h), _U)
+    for n in range(1, most + 1):
+        acc = _mix(acc[: max(0, len(h) - n + 1)] * _U(0xD6E8FEB86659FD93) + h[n - 1 :])
+        yield n, acc
+
+
+def _greedy(grams: np.ndarray, n: int, upto: np.ndarray) -> int:
+    """Characters in n-grams seen before, from left to right, jumping over each hit. Grams that occur once are passed over."""
+    order = np.argsort(grams, kind="stable")
+    ranked = grams[order]
+    same = ranked[1:] == ranked[:-1]
+    if not same.any():
+        return 0
+    twice = np.zeros(len(grams), bool)
+    twice[order[1:][same]] = twice[order[:-1][same]] = True
+    at = np.flatnonzero(twice)
     seen, chars, i = set(), 0, 0
-    while i < len(grams):
-        g = grams[i]
-        if g in seen:
-            chars += int(upto[i + n] - upto[i])
-            i += n
-        else:
-            seen.add(g)
-            i += 1
+    for p, g in zip(at.tolist(), grams[at].tolist()):
+        if p >= i:
+            if g in seen:
+                chars += int(upto[p + n] - upto[p])
+                i = p + n
+            else:
+                seen.add(g)
     return chars
 
 
+def repetitions(h: np.ndarray, size: np.ndarray, at: np.ndarray, top: tuple[int, ...], again: tuple[int, ...]) -> np.ndarray:
+    """repetition() of many texts, a row each: the tokens of text k are those from at[k] to at[k + 1]. Grams of all texts are made and sorted together."""
+    texts = len(at) - 1
+    out = np.zeros((texts, len(top) + len(again)), np.int64)
+    text = np.repeat(np.arange(texts), np.diff(at))
+    upto = np.concatenate([[0], np.cumsum(size)])
+    left = None  # texts with a repeated gram: a repeated gram has a repeated shorter one
+    for n, g in _grams(h, max(top + again, default=0)):
+        if n in top or (n in again and left is None):
+            inside = np.flatnonzero(text[: len(g)] == text[n - 1 :])
+            order = inside[np.lexsort((g[inside], text[inside]))]
+            first = np.ones(len(order), bool)
+            first[1:] = (g[order[1:]] != g[order[:-1]]) | (text[order[1:]] != text[order[:-1]])
+            begin = np.flatnonzero(first)
+            count, place = np.diff(np.append(begin, len(order))), order[begin]
+            own, start = np.unique(text[place], return_index=True)
+        if n in top and len(begin):
+            most = np.maximum.reduceat(count, start)
+            tied = count == np.repeat(most, np.diff(np.append(start, len(count))))
+            k = np.minimum.reduceat(np.where(tied, place, len(h)), start)
+            out[own, top.index(n)] = (upto[k + n] - upto[k] + n - 1) * most
+        if n in again:
+            left = np.unique(text[place[count > 1]]) if left is None else left
+            for t in left.tolist():
+                a, b = int(at[t]), int(at[t + 1])
+                out[t, len(top) + again.index(n)] = _greedy(g[a : max(a, b - n + 1)], n, upto[a : b + 1])
+            left = left[out[left, len(top) + again.index(n)] > 0]
+    return out
+
+
 def repetition(h: np.ndarray, size: np.ndarray, top: tuple[int, ...], again: tuple[int, ...]) -> list[int]:
     """Of a text's tokens: the characters of all occurrences of the commonest n-gram (of equally common ones the first) for each of top, spaces between words counted; then those in repeated n-grams for each of again."""
-    upto, out = np.concatenate([[0], np.cumsum(size)]), []
-    for n in top:
-        g = _grams(h, n)
-        if not len(g):
-            out.append(0)
-            continue
-        _, first, count = np.unique(g, return_index=True, return_counts=True)
-        k = int(first[count == count.max()].min())
-        out.append(int(upto[k + n] - upto[k] + n - 1) * int(count.max()))
-    some = True
-    for n in again:
-        g = _grams(h, n)
-        some = some and len(np.unique(g)) < len(g)  # a repeated gram has a repeated shorter one
-        out.append(_greedy(g.tolist(), n, upto) if some else 0)
-    return out
+    return repetitions(h, size, np.array([0, len(h)]), tuple(top), tuple(again))[0].tolist()
 
 
 def repetition_shares(top: tuple[int, ...], again: tuple[int, ...]):
@@ -163,11 +187,9 @@ def repetition_shares(top: tuple[int, ...], again: tuple[int, ...]):
         rows = []
         for points, off in chunks(texts):
             start, end, _, _ = tokens(points, off)
-            h, size, at = token_hashes(points, start, end), end - start, np.searchsorted(start, off)
-            for k in range(len(off) - 1):
-                own = slice(at[k], at[k + 1])
-                chars = max(int(off[k + 1] - off[k]), 1)
-                rows.append([x / chars for x in repetition(h[own], size[own], top, again)])
-        return pa.array(rows, pa.list_(pa.float64()))
+            found = repetitions(token_hashes(points, start, end), end - start, np.searchsorted(start, off), top, again)
+            rows.append(found / np.maximum(np.diff(off), 1)[:, None])
+        flat = np.concatenate([np.zeros((0, len(top) + len(again))), *rows])
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1, dtype=np.int32) * flat.shape[1]), pa.array(flat.ravel()))
 
     return lambda c: F.arrow_udf(run, "array<double>").asNondeterministic()(c.cast("string"))
