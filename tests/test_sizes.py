@@ -177,3 +177,18 @@ def test_line_parts_are_made_once(spark):
 def test_strip_takes_all_white_space(spark):
     got = spark.createDataFrame([(c, f"{chr(c)}a{chr(c)}") for c in range(1, 0x10000) if not 0xD800 <= c < 0xE000], "c int, t string").select("c", T.strip(F.col("t")).alias("s"), F.regexp_replace("t", r"(?U)^\s+|\s+$", "").alias("want"))
     assert got.filter("s <> want").count() == 0 and got.filter("s = 'a'").count() == len(T.SPACES)
+
+
+def test_scrub_is_linear_in_a_line_and_the_same(spark):
+    import random
+    import time
+
+    r = random.Random(5)
+    bits = ["**", "*", "[", "]", "[**", "**]", "\n", "7", "12/3", "url", "URL ", "Holiday", " ", "clip number", "x", "\r", "é"]
+    texts = ["".join(r.choice(bits) for _ in range(r.randrange(1, 25))) for _ in range(4000)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    plain = T.chain(F.col("t"), *((f"(?id){p}", "___") for p in T.SCRUB))
+    assert df.select(T.scrub(F.col("t")).alias("a"), plain.alias("b")).filter("a <> b").count() == 0
+    began = time.time()
+    spark.createDataFrame([("**a b " * 40_000,)], "t string").select(F.length(T.scrub(F.col("t")))).collect()
+    assert time.time() - began < 20  # every mark looked to the end of the line, seven times: minutes

@@ -138,18 +138,44 @@ def clinical_lines(c: Column) -> Column:
 
 _MARKED = ("serial number", "identifier", "medical record number", "social security number", "age", "phone", "pager number", "contact info", "provider number", "name", "dictator",
            "attending", "hospital", "location", "address", "country", "state", "university", "year", "month", "date")
+_ON_LINE = ("clip number", "holiday", "company", "job number", "unit number", "url", "[0-9]+")
 #: De-identification marks in order: what is named near their start; dates by digits; what is named anywhere on the line; marks with a digit, and blank ones.
 SCRUB = [
     *(rf"\[\*\*.{{0,15}}{w}.*?\*\*\]" for w in _MARKED),
     *(rf"\[?\*\*{d}\*\*\]?" for d in ("[0-9]{0,2}/[0-9]{0,4}", "[0-9]{0,4}", "(?:[0-9]{0,4}-)?[0-9]{0,2}-[0-9]{0,2}")),
-    *(rf"\[?\*\*.*{w}.*\*\*\]?" for w in ("clip number", "holiday", "company", "job number", "unit number", "url", "[0-9]+")),
+    *(rf"\[?\*\*.*{w}.*\*\*\]?" for w in _ON_LINE),
     r"\[?\*\* +\*\*\]?",
 ]
+#: The same for what is named anywhere on the line, in time linear in the line: from its first mark, if that is followed by the first such name and another mark, to its last.
+_LINEAR = {rf"\[?\*\*.*{w}.*\*\*\]?": rf"(?m)^((?>.*?(?=\[?\*\*)))\[?\*\*(?>.*?{w.rstrip('+')}).*\*\*\]?" for w in _ON_LINE}
+
+
+def bound(c: Column, f) -> Column:
+    """f of a column that is evaluated once, however often f names it."""
+    return F.get(F.transform(F.array(c), lambda x: f(x)), F.lit(0))
 
 
 def scrub(c: Column, mark: str = "___") -> Column:
-    """De-identification marks replaced rule by rule, whatever their case."""
-    return chain(c, *((f"(?i){p}", mark) for p in SCRUB))
+    """De-identification marks replaced rule by rule, whatever their case. Lines end at line feeds.
+
+    A rule runs only over texts that still have marks and had its name: replacing makes no new ones.
+    """
+
+    def rules(text: Column, low: Column) -> Column:
+        for k, p in enumerate(SCRUB):
+            named = k < len(_MARKED)
+            word = _MARKED[k] if named else _ON_LINE[k - len(_MARKED) - 3] if p in _LINEAR else None
+            new = (f"(?id){_LINEAR[p]}", f"$1{mark}") if p in _LINEAR else (f"(?id){p}", mark)
+
+            def step(t: Column, new=new, named=named, word=word) -> Column:
+                can = F.contains(t, F.lit("[**" if named else "**"))
+                can = can & F.contains(low, F.lit(word)) if word and word.replace(" ", "").isalpha() else can
+                return F.when(can, F.regexp_replace(t, *new)).otherwise(t)
+
+            text = bound(text, step)
+        return text
+
+    return bound(c, lambda t: bound(F.lower(t), lambda low: rules(t, low)))
 
 
 def is_title(c: Column) -> Column:
