@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tidemill.functions import arrow as A
 from tidemill.functions import text as T
 from tidemill.functions import words
-from tidemill.operators import dedup, filters, guidelines, vectors
+from tidemill.operators import dedup, filters, guidelines, scoring, vectors
 from tidemill.sources import tables as S
 
 
@@ -192,3 +192,15 @@ def test_scrub_is_linear_in_a_line_and_the_same(spark):
     began = time.time()
     spark.createDataFrame([("**a b " * 40_000,)], "t string").select(F.length(T.scrub(F.col("t")))).collect()
     assert time.time() - began < 20  # every mark looked to the end of the line, seven times: minutes
+
+
+def test_word_counts_shuffle_texts_and_scores_shuffle_sums(spark):
+    docs = spark.createDataFrame([(i, "good fine" if i % 2 else "bad poor poor") for i in range(40)] + [(0, "bad")], "doc_id long, text string")
+    counts = scoring.word_counts(docs)
+    plan = counts._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.index("Generate") < plan.index("Exchange")  # from the top: rows of words are made after it
+    assert {(r.word, r.n) for r in counts.filter("doc_id = 0").collect()} == {("bad", 2), ("poor", 2)}
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("label")).distinct()
+    model, prior = scoring.train_words(counts, labels)
+    got = {r.doc_id: r.predicted for r in scoring.classify(docs, counts, model, prior).collect()}
+    assert got == {i: i % 2 for i in range(40)}

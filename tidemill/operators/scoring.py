@@ -12,6 +12,9 @@ from ..functions import text as T
 from .dedup import written
 
 
+SMALL = 1_000_000  # rows of a few numbers that are broadcast
+
+
 def likert(logits: Column) -> Column:
     """The expected place, from 1, under the softmax of logits."""
     top = F.array_max(logits)
@@ -34,14 +37,16 @@ def regroup(docs: DataFrame, kept: DataFrame, key: str) -> DataFrame:
 
 
 def word_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, word, n) of each text, whatever the case of its words."""
+    """(id_col, word, n) of each text, whatever the case of its words. Texts are dealt by id, as they are smaller than their words by row, and so many to a part that its words can be counted in memory."""
     word = F.explode(F.filter(F.split(F.lower(text_col), r"(?U)\W+"), lambda x: x != "")).alias("word")
-    return docs.select(id_col, word).groupBy(id_col, "word").agg(F.count("*").alias("n"))
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), docs.count() // 5000)
+    return docs.select(id_col, text_col).repartition(parts, id_col).select(id_col, word).groupBy(id_col, "word").agg(F.count("*").alias("n"))
 
 
 def train_words(counts: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> tuple[DataFrame, list[tuple]]:
     """A multinomial naive Bayes model of word_counts, smoothed by one: (word, label, logp), and (label, prior, logp of a missing word) of each label, of which there are few. labels has (id_col, label)."""
     known = labels.dropna().dropDuplicates([id_col])
+    known = F.broadcast(known) if known.count() <= SMALL else known
     n = written(counts.join(known, id_col).groupBy("word", "label").agg(F.sum("n").alias("n")), "word-model")
     words = n.select("word").distinct().count()
     docs = known.join(counts.select(id_col).distinct(), id_col, "left_semi").groupBy("label").agg(F.count("*").alias("docs"))
@@ -57,9 +62,10 @@ def classify(docs: DataFrame, counts: DataFrame, model: DataFrame, prior: list[t
     if not prior:
         return docs.select(id_col, F.lit(None).alias("predicted"))
     none = F.create_map(*[F.lit(x) for a, _, c in prior for x in (a, c)])
-    words = counts.join(model.select("word").distinct(), "word").groupBy(id_col).agg(F.sum("n").alias("words"))
-    seen = counts.join(model, "word").groupBy(id_col, "label").agg(F.sum(F.col("n") * (F.col("logp") - none[F.col("label")])).alias("more"))
-    every = docs.select(id_col).distinct().join(words, id_col, "left").withColumn("p", F.explode(labels)).select(id_col, "words", "p.*")
+    wide = written(model.groupBy("word").agg(*[F.max(F.when(F.col("label") == a, F.col("logp") - none[F.col("label")])).alias(f"__{k}") for k, (a, _, _) in enumerate(prior)]), "wide-model")
+    wide = F.broadcast(wide) if wide.count() <= SMALL else wide  # then the counts stay where they are, and a sum for each text is shuffled
+    sums = counts.join(wide, "word").groupBy(id_col).agg(F.sum("n").alias("words"), F.array(*[F.sum(F.col("n") * F.col(f"__{k}")) for k in range(len(prior))]).alias("mores"))
+    every = docs.select(id_col).distinct().join(sums, id_col, "left").select(id_col, "words", "mores", F.posexplode(labels).alias("k", "p")).select(id_col, "words", F.get("mores", "k").alias("more"), "p.*")
     score = F.col("prior") + F.coalesce("words", F.lit(0)) * F.col("none") + F.coalesce("more", F.lit(0.0))
-    best = every.join(seen, [id_col, "label"], "left").groupBy(id_col).agg(F.max(F.struct(F.round(score, 6).alias("score"), "label")).alias("m"))
+    best = every.groupBy(id_col).agg(F.max(F.struct(F.round(score, 6).alias("score"), "label")).alias("m"))
     return best.select(id_col, F.col("m.label").alias("predicted"))
