@@ -204,3 +204,16 @@ def test_word_counts_shuffle_texts_and_scores_shuffle_sums(spark):
     model, prior = scoring.train_words(counts, labels)
     got = {r.doc_id: r.predicted for r in scoring.classify(docs, counts, model, prior).collect()}
     assert got == {i: i % 2 for i in range(40)}
+
+
+def test_least_hashes_are_partial_minima():
+    r = np.random.default_rng(4)
+    ids, x = [5] * 300 + [7] + [5] * 20 + [9] * 40, r.integers(0, 1 << 28, 361)
+    x[0], x[1] = 0, (1 << 28) - 1
+    functions = [*dedup.permutations(112), (dedup.MERSENNE - 1, dedup.MERSENNE - 1), (1, dedup.MERSENNE)]
+    b = pa.RecordBatch.from_arrays([pa.array(ids), pa.array(x)], ["id", "x"])
+    (got,) = dedup.least_hashes([b, b.slice(0, 0)], functions)
+    assert got.column(0).to_pylist() == [5, 7, 5, 9]
+    for k, (m, add) in enumerate(functions):
+        h = [(int(v) * m + add) % dedup.MERSENNE for v in x]
+        assert got.column(k + 1).to_pylist() == [min(h[:300]), h[300], min(h[301:321]), min(h[321:])]

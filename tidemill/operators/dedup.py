@@ -49,10 +49,29 @@ def permutations(count: int, seed: int = 1) -> list[tuple[int, int]]:
     return list(zip(out[::2], out[1::2]))
 
 
+def least_hashes(batches: Iterable[pa.RecordBatch], functions: list[tuple[int, int]]) -> Iterable[pa.RecordBatch]:
+    """(id, h0, h1, ...) of batches of (id, x below 2^28): the least value of each hash function over the rows of an id in a batch."""
+    for b in batches:
+        if not len(b):
+            continue
+        ids, x = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
+        start = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))  # grams of a text come one after the other; an id that comes again has another row
+        out = [pa.array(ids[start])]
+        for m, add in functions:
+            y = x * m + add
+            y = (y & MERSENNE) + (y >> 31)  # below 2^32
+            y = (y & MERSENNE) + (y >> 31)
+            y[y == MERSENNE] = 0
+            out.append(pa.array(np.minimum.reduceat(y, start)))
+        yield pa.RecordBatch.from_arrays(out, ["id", *(f"h{k}" for k in range(len(functions)))])
+
+
 def band_keys(docs: DataFrame, id_col: str, n: int, bands: int, rows: int) -> DataFrame:
     """(id, key): for each band the least values of its hash functions over a document's grams, as partial minima beside the scan. A gram is hashed once."""
-    hashed = shingles(docs, id_col, n).select("id", F.conv(F.substring(F.md5("g"), 1, 7), 16, 10).cast("long").alias("x"))
-    least = hashed.groupBy("id").agg(*[F.min((F.col("x") * a + b) % MERSENNE).alias(f"h{k}") for k, (a, b) in enumerate(permutations(bands * rows))])
+    hashed = shingles(docs, id_col, n).filter("id is not null").select("id", F.conv(F.substring(F.md5("g"), 1, 7), 16, 10).cast("long").alias("x"))
+    names = [f"h{k}" for k in range(bands * rows)]
+    parts = hashed.mapInArrow(partial(least_hashes, functions=permutations(bands * rows)), f"id {hashed.schema['id'].dataType.simpleString()}, " + ", ".join(f"{h} long" for h in names))
+    least = parts.groupBy("id").agg(*[F.min(h).alias(h) for h in names])
     return least.select("id", F.explode(F.array(*[F.concat_ws("-", F.lit(str(b)), *[F.col(f"h{b * rows + r}") for r in range(rows)]) for b in range(bands)])).alias("key"))
 
 
